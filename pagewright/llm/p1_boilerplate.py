@@ -65,19 +65,24 @@ def _salted(keys: DataFrame, per_report: DataFrame, salts: int) -> DataFrame:
     return keys.withColumn("salt", F.pmod(F.col("page_index"), F.lit(salts))).join(spread, ["doc_id", "salt"]).drop("salt")
 
 
-def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over the kept edges of one report; a block's id is its least key."""
-    parent = {k: k for k in pdf.a}
+def _components(batches):
+    """Union-find over the kept edges of the reports in one partition; a block's id is its least key.
 
-    def root(k):
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
+    A partition holds whole reports, and only their kept graphs.
+    """
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-    for a, b in zip(pdf.a, pdf.b):
-        x, y = sorted((root(a), root(b)))
-        parent[y] = x
-    return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "line_key": list(parent), "block_id": [root(k) for k in parent]})
+    for pdf in batches:
+        for doc, a, b in zip(pdf.doc_id, pdf.a, pdf.b):
+            x, y = parent.setdefault((doc, a), (doc, a)), parent.setdefault((doc, b), (doc, b))
+            x, y = sorted((root(x), root(y)))
+            parent[y] = x
+    yield pd.DataFrame([(doc, key, root((doc, key))[1]) for doc, key in parent], columns=["doc_id", "line_key", "block_id"])
 
 
 def blocks(keys: DataFrame, nodes: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -102,11 +107,7 @@ def blocks(keys: DataFrame, nodes: DataFrame, salts: int = SALTS) -> DataFrame:
     )
     # A self-edge stands for each node; both ends of every edge are nodes.
     graph = edges.unionByName(nodes.select("doc_id", F.col("line_key").alias("a"), F.col("line_key").alias("b")))
-    return graph.groupBy("doc_id").applyInPandas(_graph_of_report, BLOCKS)
-
-
-def _graph_of_report(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _components(pdf.sort_values(["a", "b"], ignore_index=True))
+    return graph.repartition("doc_id").mapInPandas(_components, BLOCKS)
 
 
 def occurrences(keys: DataFrame, members: DataFrame, salts: int = SALTS) -> DataFrame:

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pagewright.llm import p1_boilerplate as p1
+from pagewright.llm import p3_split as p3
+from pagewright.llm import p6_pack as p6
+from pagewright.llm import p7_mix as p7
+from pagewright.llm import p8_residue as p8
 from pagewright.llm.sql import ORACLE  # noqa: F401
 from pagewright.sources.tables import table
 
@@ -11,4 +15,61 @@ def p1_found(spark, d):
     return p1.find(table(spark, d, "native_pages", "doc_id", "page_index", "raw_text")).select("doc_id", "page_index", "line_no")
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_clean(spark, d):
+    pages = table(spark, d, "native_pages", "doc_id", "page_index", "raw_text").distinct()
+    return p1.remove_lines(pages, p1.find(pages)).select("doc_id", "page_index", "clean_text")
+
+
+def _pieces(spark, d):
+    t = lambda name: table(spark, d, name)
+    return p3.split(t("page_windows"), t("doc_records"), t("page_headings"), t("model_limits"))
+
+
+def p3_found(spark, d):
+    return _pieces(spark, d).where("pieces > 1").select("window_id").distinct()
+
+
+def p3_pieces(spark, d):
+    return _pieces(spark, d).select("window_id", "piece_no", "piece_start", "piece_end")
+
+
+def _packed(spark, d):
+    return p6.pack(table(spark, d, "documents", "doc_id", "n_tokens", "text"), table(spark, d, "pack_specs"))
+
+
+def p6_found(spark, d):
+    return p6.oversize(_packed(spark, d))
+
+
+def p6_certificates(spark, d):
+    return p6.certificates(_packed(spark, d))
+
+
+def _mix(spark, d):
+    return p7.mix(table(spark, d, "documents", "doc_id", "source", "n_tokens", "text"), table(spark, d, "mix_targets"))
+
+
+def p7_found(spark, d):
+    return _mix(spark, d)[1].where("exhausted and not reachable").select("source")
+
+
+def p7_mixture(spark, d):
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark, d):
+    return _mix(spark, d)[1]
+
+
+def p8_found(spark, d):
+    return p8.find(table(spark, d, "documents", "doc_id", "text")).select("doc_id")
+
+
+def p8_kept(spark, d):
+    return p8.keep_clean(table(spark, d, "documents", "doc_id", "text")).select("doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_clean, p3_found, p3_pieces, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
+}
