@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagewright.llm import p1_boilerplate as p1
 from pagewright.llm import p3_split as p3
+from pagewright.llm import p5_quality as p5
 from pagewright.llm import p6_pack as p6
 from pagewright.llm import p7_mix as p7
 from pagewright.llm import p8_residue as p8
@@ -33,6 +34,22 @@ def p3_pieces(spark, d):
     return _pieces(spark, d).select("window_id", "piece_no", "piece_start", "piece_end")
 
 
+def _kinds(spark, d):
+    return p5.kinds(table(spark, d, "native_pages", "doc_id", "page_index", "raw_text"), table(spark, d, "page_headings"), table(spark, d, "common_words"))
+
+
+def p5_found(spark, d):
+    return _kinds(spark, d).where("kind in ('list', 'table', 'junk')").select("doc_id", "page_index", "kind")
+
+
+def p5_pages(spark, d):
+    return p5.page_stats(table(spark, d, "native_pages"), table(spark, d, "page_headings"), table(spark, d, "common_words"))
+
+
+def p5_reports(spark, d):
+    return p5.report_stats(p5_pages(spark, d))
+
+
 def _packed(spark, d):
     return p6.pack(table(spark, d, "documents", "doc_id", "n_tokens", "text"), table(spark, d, "pack_specs"))
 
@@ -71,5 +88,5 @@ def p8_kept(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p3_found, p3_pieces, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
+    for f in (p1_found, p1_clean, p3_found, p3_pieces, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
 }
