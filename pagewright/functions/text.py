@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The characters that Python's str.isspace() accepts, as a Java class body.
-PY_SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+PY_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Fixed value: a number with sign, groups and percent, or a run of letters.
 TOKEN_PATTERN = r"[+\-]?\p{Nd}+(?:[.,]\p{Nd}+)*%?|[\p{L}\p{Nl}\p{No}]+"

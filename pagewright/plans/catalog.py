@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pagewright.plans import ranking
+
+QUERIES: dict = {**ranking.QUERIES}
+ORACLE: dict = {**ranking.ORACLE}
