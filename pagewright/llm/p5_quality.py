@@ -8,7 +8,8 @@ lists, tables and junk.
 
 Line classes: '-' blank, 'j' unreadable, 'b' bullet or numbered entry, 'd' dot leaders,
 'n' caption with several figures, 'm' text that ends with one figure, 's' function words
-or one word in a row without sense, 'e' text with a sentence end, 't' other text.
+or one word in a row without sense, 'e' text with a sentence end, 't' other text; capitals for text that stood on the
+page before.
 
 Scale. One pass over the text on the map side; the exchange by page carries about 100
 bytes a page. Joins are salted as in p1.
@@ -21,6 +22,7 @@ kind.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,7 @@ FIGURES = (
 )
 
 WORD = re.compile(r"[^\W\d_]+")
-_DIGITS = re.compile(r"\d+")
+_NO_DIGITS = {ord(c): None for c in "0123456789"}
 _LEADERS = re.compile(r"(?:\.\s?){4,}\s*[0-9]*\s*$")
 _ENTRY = re.compile(r"(?:[•*▪◦‣·–-]|\(?[A-Za-z0-9]{1,3}[.)])\s+\S")
 _FIGURE = r"(?:\(?[$€£]?[0-9lIOoSBb]*[0-9][0-9lIOoSBb.,]*%?\)?|—)"
@@ -47,6 +49,7 @@ _ENDS_FIGURES = re.compile(rf"(?:^|[\s|]){_FIGURE}[\s|]+{_FIGURE}\s*$")
 _SENTENCE_END = re.compile(r"[.!?][”\"')\]¹²³†‡]*(?:\s|$)")
 _END_PUNCTUATION = re.compile(r"[.!?:;][”\"')\]¹²³†‡]*\s*$")
 _VOWELS = frozenset("aeiouyäöüéèáíóúàâêîôûëïœæãõåøαεηιουωέάаеиоуыэюя")
+_FIGURE_ENDS = frozenset("0123456789%)—lIOoSBb")
 _PARAGRAPHS = re.compile(r"\n\s*\n")
 
 JUNK_SHARE = 0.5
@@ -57,42 +60,44 @@ REPEATED_LINES = 0.5
 REPEATED_NGRAM = 0.6
 
 
-def line_class(line: str, common: frozenset) -> str:
-    s = line.strip()
+def line_class(s: str, low: list[str], letters: int, common: frozenset) -> str:
+    """The class of a stripped line with its lower-case words and their letters."""
     if not s:
         return "-"
-    words = WORD.findall(s)
     if (".." in s or ". ." in s) and _LEADERS.search(s):
         return "d"
-    letters = sum(map(len, words))
-    solid = len(s) - s.count(" ")
-    if "(cid:" in s or (len(s) >= 6 and letters < 0.35 * solid and 4 * sum(map(str.isdigit, s)) < len(s)):
+    length, spaces, words = len(s), s.count(" "), len(low)
+    if "(cid:" in s or (length >= 6 and letters < 0.35 * (length - spaces) and 4 * sum(map(str.isdigit, s)) < length):
         return "j"
-    low = [w.lower() for w in words]
-    if solid >= 40 and any(len(w) >= 40 for w in s.split()):
+    if length >= 40 and 30 * spaces < length and max(map(len, s.split())) >= 40:
         return "j"
-    if len(low) >= 6 and (3 * len(set(low)) <= len(low) or letters < 2 * len(low) and sum(len(w) == 1 for w in low) > 0.6 * len(low)):
+    if words >= 6 and (3 * len(set(low)) <= words or (letters < 2 * words and sum(len(w) == 1 for w in low) > 0.6 * words)):
         return "j"
-    if common.isdisjoint(low):
+    if words >= 4 and common.isdisjoint(low):
         long = [w for w in low if len(w) >= 3]
         if len(long) >= 4 and sum(not _VOWELS.isdisjoint(w) for w in long) < 0.4 * len(long):
             return "j"
     first, last = s[0], s[-1]
     if (not first.isalpha() or not s[1:2].isalpha()) and _ENTRY.match(s):
         return "b"
-    figure = last.isdigit() or last in "%)—lIOoSBb"
+    figure = last in _FIGURE_ENDS
     if figure and _ENDS_FIGURES.search(s):
         return "n"
-    if _SENTENCE_END.search(s):
+    if ("." in s or "!" in s or "?" in s) and _SENTENCE_END.search(s):
         return "e"
     if figure and _ENDS_FIGURE.search(s):
         return "n" if "|" in s or "\t" in s else "m"
     run, before = 0, None
     for w in low:
-        run = run + 1 if w in common else 0
-        if run >= 3 or w == before:
+        if w == before:
             return "s"
         before = w
+        if w in common:
+            run += 1
+            if run == 3:
+                return "s"
+        else:
+            run = 0
     return "t"
 
 
@@ -101,42 +106,63 @@ def _top_shares(words: list[str], total: int) -> tuple[float, float, float]:
     if len(words) < 5 or not total:
         return 0.0, 0.0, 0.0
     ids: dict[str, int] = {}
-    first = np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64)
-    size = np.array([len(w) for w in ids], dtype=np.int64)
-    letters, gram, shares = size[first], first, []
+    first = np.fromiter([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64, count=len(words))
+    names, base = list(ids), len(ids)
+    if base >= 50_000:  # four ids no longer fit one code
+        return tuple(_top_share_counted(words, n, total) for n in (2, 3, 4))
+    gram, shares = first, []
     for n in (2, 3, 4):
-        gram = gram[:-1] * len(words) + first[n - 1 :]
-        _, at, gram, times = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
-        top = int(times.max())
-        k = int(at[times == top].min())
-        shares.append(round(min(1.0, top * int(letters[k : k + n].sum()) / total), 4) if top > 1 else 0.0)
+        gram = gram[:-1] * base + first[n - 1 :]
+        ordered = np.sort(gram)
+        starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+        times = np.diff(starts, append=len(ordered))
+        k = int(times.argmax())
+        top, code, letters = int(times[k]), int(ordered[starts[k]]), 0
+        for _ in range(n):
+            code, w = divmod(code, base)
+            letters += len(names[w])
+        shares.append(round(min(1.0, top * letters / total), 4) if top > 1 else 0.0)
     return tuple(shares)
 
 
-def _repeated(items: list[str]) -> float:
-    return 1 - len(set(items)) / len(items) if items else 0.0
+def _top_share_counted(words: list[str], n: int, total: int) -> float:
+    gram, top = Counter(zip(*(words[i:] for i in range(n)))).most_common(1)[0]
+    return round(min(1.0, top * sum(map(len, gram)) / total), 4) if top > 1 else 0.0
 
 
 def page_figures(text: str, common: frozenset) -> tuple:
-    lines = text.split("\n")
-    words = WORD.findall(text.lower())
-    letters = sum(map(len, words))
-    solid = len("".join(text.split()))
-    filled = [x for x in (line.strip() for line in lines) if x]
-    paragraphs = [" ".join(p.split()) for p in _PARAGRAPHS.split(text)]
+    words, classes, seen, filled, ends, letters, known = [], [], set(), 0, 0, 0, 0
+    for line in text.split("\n"):
+        s = line.strip()
+        low = WORD.findall(s.lower())
+        n = sum(map(len, low))
+        kind = line_class(s, low, n, common)
+        if s:
+            filled += 1
+            ends += not s[-1].isalpha() and _END_PUNCTUATION.search(s) is not None
+            # Text that stands on the page before, letter for letter, is told by a capital.
+            if s in seen and kind in "ets":
+                kind = kind.upper()
+            seen.add(s)
+        classes.append(kind)
+        words += low
+        letters += n
     n = len(words)
+    solid = len("".join(text.split()))
+    known = sum(map(common.__contains__, words))
+    paragraphs = [p for p in map(str.strip, _PARAGRAPHS.split(text)) if p]
     return (
         n,
         round(letters / n, 4) if n else 0.0,
-        round(1 - (letters + sum(map(len, _DIGITS.findall(text)))) / solid, 4) if solid else 0.0,
-        len(filled),
-        round(sum(not x[-1].isalpha() and _END_PUNCTUATION.search(x) is not None for x in filled) / len(filled), 4) if filled else 0.0,
-        round(sum(w in common for w in words) / n, 4) if n else 0.0,
-        round(_repeated(filled), 4),
-        round(_repeated([p for p in paragraphs if p]), 4),
+        round(1 - (letters + len(text) - len(text.translate(_NO_DIGITS))) / solid, 4) if solid else 0.0,
+        filled,
+        round(ends / filled, 4) if filled else 0.0,
+        round(known / n, 4) if n else 0.0,
+        round(1 - len(seen) / filled, 4) if filled else 0.0,
+        round(1 - len(set(paragraphs)) / len(paragraphs), 4) if paragraphs else 0.0,
         *_top_shares(words, letters),
         len(text),
-        "".join([line_class(x, common) for x in lines]),
+        "".join(classes),
     )
 
 
@@ -165,67 +191,66 @@ def page_features(pages: DataFrame, common_words: DataFrame) -> DataFrame:
     )
 
 
-def kind_of(classes: Column, repeated: Column, figures: Column) -> Column:
-    """'prose', 'list', 'table', 'junk', or null without own lines.
-
-    classes: of the page's own lines; repeated: share of its own text lines that repeat another.
-    """
+def kind_of(classes: Column, top_4gram_share: Column) -> Column:
+    """'prose', 'list', 'table', 'junk', or null without own lines; from the classes of the page's own lines."""
 
     def n(letters: str) -> Column:
-        return F.regexp_count(classes, F.lit(f"[{letters}]"))
+        return F.length(classes) - F.length(F.translate(classes, letters, ""))
+
+    def rules(c) -> Column:
+        total, text = c["all"], c["text"]
+        sentences = c["e"] >= SENTENCES * F.greatest(c["ets"], F.lit(1))
+        return (
+            F.when(total == 0, F.lit(None).cast("string"))
+            .when(c["j"] > JUNK_SHARE * total, "junk")
+            .when((text > 3) & (c["again"] > REPEATED_LINES * text), "junk")
+            .when(c["n"] > MAJORITY * total, "table")
+            .when(c["bd"] > MAJORITY * total, "list")
+            .when((c["n"] + c["m"] > MAJORITY * total) & ((c["e"] == 0) | (c["e"] < SENTENCES * total)), "table")
+            .when((total > 3) & (top_4gram_share > REPEATED_NGRAM), "junk")
+            .when(sentences, F.when(text >= F.greatest(c["n"], c["bd"], c["j"]), "prose").when(c["j"] >= F.greatest(c["n"], c["bd"]), "junk").when(c["n"] >= c["bd"], "table").otherwise("list"))
+            .when(c["s"] > SENSELESS * text, "junk")
+            .otherwise("list")
+        )
 
-    total, text = n("jbdnmets"), n("emts")
-    sentences = n("e") >= SENTENCES * F.greatest(n("ets"), F.lit(1))
-    return (
-        F.when(total == 0, F.lit(None).cast("string"))
-        .when(n("j") > JUNK_SHARE * total, "junk")
-        .when((text > 3) & (repeated > REPEATED_LINES), "junk")
-        .when(n("n") > MAJORITY * total, "table")
-        .when(n("bd") > MAJORITY * total, "list")
-        .when((n("nm") > MAJORITY * total) & ((n("e") == 0) | (n("e") < SENTENCES * total)), "table")
-        .when((total > 3) & (figures["top_4gram_share"] > REPEATED_NGRAM), "junk")
-        .when(sentences, F.when(text >= F.greatest(n("n"), n("bd"), n("j")), "prose").when(n("j") >= F.greatest(n("n"), n("bd")), "junk").when(n("n") >= n("bd"), "table").otherwise("list"))
-        .when(n("s") > SENSELESS * n("emts"), "junk")
-        .otherwise("list")
-    )
+    counts = {"all": "jbdnmetsETS", "text": "emtsETS", "ets": "etsETS", "again": "ETS", "e": "eE", "s": "sS", "j": "j", "n": "n", "m": "m", "bd": "bd"}
+    # Bound once: the optimizer would otherwise repeat the counts in every rule.
+    return F.transform(F.array(F.struct(*(n(v).alias(k) for k, v in counts.items()))), rules)[0]
 
 
-def own_classes(features: DataFrame, headings: DataFrame | None, salts: int = p1.SALTS) -> DataFrame:
-    """``features`` with ``own``, the classes of the lines that are neither furniture nor headings, and ``repeated``."""
-    keys = features.select("doc_id", "page_index", "line_keys")
+def kind_of_row() -> Column:
+    return kind_of(F.col("own"), F.col("figures.top_4gram_share"))
+
+
+def own_classes(features: DataFrame, headings: DataFrame, salts: int = p1.SALTS, keys: DataFrame | None = None) -> DataFrame:
+    """``features`` with ``own``, the classes of the lines that are neither furniture nor headings.
+
+    keys: the line keys of all pages of the reports, if ``features`` has only some of the pages.
+    """
+    keys = features.select("doc_id", "page_index", "line_keys") if keys is None else keys
     nodes = cut(p1.supported_nodes(keys))
     members = p1.blocks(keys, nodes, salts).groupBy("doc_id").agg(F.collect_list("line_key").alias("kept"))
     spread = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     df = features.withColumn("salt", F.pmod(F.col("page_index"), F.lit(salts))).join(spread, ["doc_id", "salt"], "left").drop("salt")
-    gone = F.coalesce("kept", F.array().cast("array<bigint>"))
-    if headings is not None:
-        titles = (
-            headings.where("heading_text is not null")
-            .select("doc_id", "page_index", F.explode(line_keys(F.col("heading_text"))).alias("k"))
-            .where("k is not null")
-            .groupBy("doc_id", "page_index")
-            .agg(F.collect_set("k").alias("titles"))
-        )
-        df = df.join(titles, ["doc_id", "page_index"], "left")
-        gone = F.concat(gone, F.coalesce("titles", F.array().cast("array<bigint>")))
-    df = df.withColumn("_gone", gone)
-    letters = F.split(F.col("figures.classes"), "")
-    mine = F.transform(letters, lambda c, i: F.when(~F.coalesce(F.array_contains("_gone", F.get("line_keys", i)), F.lit(False)), c))
-    df = df.withColumn("_mine", mine)
-    text = F.filter("line_keys", lambda k, i: F.get("_mine", i).isin("e", "t", "s"))
-    return (
-        df.withColumn("own", F.array_join("_mine", ""))
-        .withColumn("_text", text)
-        .withColumn("repeated", F.when(F.size("_text") > 0, 1 - F.size(F.array_distinct("_text")) / F.size("_text")).otherwise(0.0))
-        .drop("_gone", "kept", "titles", "_mine", "_text")
+    titles = (
+        headings.where("heading_text is not null")
+        .select("doc_id", "page_index", F.explode(line_keys(F.col("heading_text"))).alias("k"))
+        .where("k is not null")
+        .groupBy("doc_id", "page_index")
+        .agg(F.collect_set("k").alias("titles"))
     )
+    none = F.array().cast("array<bigint>")
+    df = df.join(titles, ["doc_id", "page_index"], "left").withColumn("_gone", F.concat(F.coalesce("kept", none), F.coalesce("titles", none)))
+    mine = F.transform("line_keys", lambda k, i: F.when(k.isNotNull() & ~F.array_contains("_gone", k), F.substr(F.col("figures.classes"), i + 1, F.lit(1))))
+    # Checkpointed, since every rule on a page's classes would make them again.
+    return cut(df.withColumn("own", F.array_join(mine, "")).drop("_gone", "kept", "titles"))
 
 
 def kinds(pages: DataFrame, headings: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id, page_index, kind, figures) of every page with text."""
     features = cut(page_features(pages, common_words))
     judged = own_classes(features, headings)
-    return judged.select("doc_id", "page_index", kind_of(F.col("own"), F.col("repeated"), F.col("figures")).alias("kind"), "figures")
+    return judged.select("doc_id", "page_index", kind_of_row().alias("kind"), "figures")
 
 
 def page_stats(pages: DataFrame, headings: DataFrame, common_words: DataFrame) -> DataFrame:
