@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pagewright.llm import p1_boilerplate as p1
+from pagewright.llm import p2_lookalikes as p2
 from pagewright.llm import p3_split as p3
 from pagewright.llm import p5_quality as p5
 from pagewright.llm import p6_pack as p6
@@ -21,6 +24,22 @@ def p1_clean(spark, d):
     return p1.remove_lines(pages, p1.find(pages)).select("doc_id", "page_index", "clean_text")
 
 
+def p2_found(spark, d):
+    pages = table(spark, d, "native_pages", "doc_id", "page_index", "raw_text", "representation")
+    return p2.found(pages, table(spark, d, "page_headings"), table(spark, d, "common_words"), table(spark, d, "retrieval_queries"))
+
+
+def p2_pages(spark, d):
+    pages = table(spark, d, "native_pages", "doc_id", "page_index", "raw_text", "search_text").where("doc_id is not null and page_index is not null")
+    texts = pages.select("doc_id", "page_index", F.explode(F.array(F.struct(F.lit("raw_text").alias("field"), F.col("raw_text").alias("text")), F.struct(F.lit("search_text").alias("field"), F.col("search_text").alias("text")))).alias("t"))
+    texts = texts.select("doc_id", "page_index", "t.*").where("text is not null").distinct()
+    return p2.canonical_texts(texts, "doc_id", "page_index", "field").select("doc_id", "page_index", "field", "canonical")
+
+
+def p2_questions(spark, d):
+    return p2.canonical_questions(table(spark, d, "retrieval_queries")).select("task_id", "doc_id", "question", "canonical")
+
+
 def _pieces(spark, d):
     t = lambda name: table(spark, d, name)
     return p3.split(t("page_windows"), t("doc_records"), t("page_headings"), t("model_limits"))
@@ -88,5 +107,5 @@ def p8_kept(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p3_found, p3_pieces, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
+    for f in (p1_found, p1_clean, p2_found, p2_pages, p2_questions, p3_found, p3_pieces, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
 }
