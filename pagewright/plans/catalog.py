@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.plans import ranking
+from pagewright.plans import auditing, ranking
 
-QUERIES: dict = {**ranking.QUERIES}
-ORACLE: dict = {**ranking.ORACLE}
+QUERIES: dict = {**ranking.QUERIES, **auditing.QUERIES}
+ORACLE: dict = {**ranking.ORACLE, **auditing.ORACLE}
