@@ -34,11 +34,11 @@ SALTS = 16
 BLOCKS = "doc_id string, line_key long, block_id long"
 
 
-def page_keys(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_index, line_keys): one row for each page with text."""
+def page_keys(pages: DataFrame, keys=line_keys) -> DataFrame:
+    """(doc_id, page_index, line_keys): one row for each page with text; ``keys`` makes the array from raw_text."""
     return (
         with_text(pages.select("doc_id", "page_index", "raw_text"))
-        .select("doc_id", "page_index", line_keys(F.col("raw_text")).alias("line_keys"))
+        .select("doc_id", "page_index", keys(F.col("raw_text")).alias("line_keys"))
         .groupBy("doc_id", "page_index")
         .agg(F.max("line_keys").alias("line_keys"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.llm import p1_boilerplate as p1
 from pagewright.llm import p2_lookalikes as p2
 from pagewright.llm import p3_split as p3
+from pagewright.llm import p4_repair as p4
 from pagewright.llm import p5_quality as p5
 from pagewright.llm import p6_pack as p6
 from pagewright.llm import p7_mix as p7
@@ -53,6 +54,18 @@ def p3_pieces(spark, d):
     return _pieces(spark, d).select("window_id", "piece_no", "piece_start", "piece_end")
 
 
+def _scans(spark, d):
+    return (
+        table(spark, d, "ocr_lines", "doc_id", "page_index", "line_order", "text"),
+        table(spark, d, "native_pages", "doc_id", "page_index", "raw_text"),
+        table(spark, d, "page_headings", "doc_id", "page_index", "heading_text"),
+    )
+
+
+def p4_found(spark, d):
+    return p4.found(*_scans(spark, d))
+
+
 def _kinds(spark, d):
     return p5.kinds(table(spark, d, "native_pages", "doc_id", "page_index", "raw_text"), table(spark, d, "page_headings"), table(spark, d, "common_words"))
 
@@ -107,5 +120,5 @@ def p8_kept(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_pages, p2_questions, p3_found, p3_pieces, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
+    for f in (p1_found, p1_clean, p2_found, p2_pages, p2_questions, p3_found, p3_pieces, p4_found, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
 }
