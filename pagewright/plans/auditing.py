@@ -304,7 +304,7 @@ def numeric_match(spark, d):
 
 _RISK_SQL = _with(
     "c AS (SELECT doc_id, page_index, 1 - avg(confidence) AS disagreement, count(*) FILTER (confidence IS NULL) > 0 AS malformed, count(*) FILTER (regexp_matches(text, '[0-9][A-Za-z]')) / count(*) AS numeric_share, 1 - count(DISTINCT text) / count(*) AS repetition FROM (SELECT DISTINCT doc_id, page_index, line_order, text, confidence FROM ocr_lines) GROUP BY ALL)",
-    "k AS (SELECT doc_id, page_index, round(0.4e0 * least(1, greatest(0, coalesce(disagreement, 0))) + 0.25e0 * CAST(malformed AS INTEGER) + 0.25e0 * numeric_share + 0.1e0 * repetition, 6) AS risk FROM c)",
+    "k AS (SELECT doc_id, page_index, round(0.4e0 * least(1, greatest(0, coalesce(disagreement, 0))) + 0.25e0 * CAST(malformed AS INTEGER) + 0.25e0 * numeric_share + 0.1e0 * repetition, 9) AS risk FROM c)",
 )
 
 
@@ -318,7 +318,7 @@ def page_risk(spark, d):
         (F.count_if(F.col("text").rlike("[0-9][A-Za-z]")) / F.count("*")).alias("n"),
         (1 - F.countDistinct("text") / F.count("*")).alias("r"),
     )
-    return c.select("doc_id", "page_index", F.round(metrics.page_risk(F.coalesce("a", F.lit(0.0)), F.col("m"), F.col("n"), F.col("r")), 6).alias("risk"))
+    return c.select("doc_id", "page_index", F.round(metrics.page_risk(F.coalesce("a", F.lit(0.0)), F.col("m"), F.col("n"), F.col("r")), 9).alias("risk"))
 
 
 @query(_RISK_SQL + "SELECT doc_id, page_index, risk FROM k WHERE risk >= 0.2")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """``folder/name.parquet``, projected to ``columns`` so that the scan prunes."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
