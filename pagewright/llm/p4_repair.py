@@ -34,16 +34,17 @@ from pagewright.session import cut
 
 TRAIN_WORDS = 2_000
 EPOCHS = 2
-RATIO = 5
-EDITS, PAIRED = 8, 4  # single edits proposed, and how many of them are tried in pairs
+RATIO, SHORT_RATIO = 6, 50  # for words of up to SHORT letters, which are near to many others
+SHORT = 3
+PAIRED = 4  # the best edits, which are tried in pairs too
 SEED = 11
+EDGE = 3  # lines at either end among which a spoilt furniture line is looked for
 
 # What was printed, and what recognition makes of it.
 CONFUSIONS = (
-    ("o", "0"), ("l", "1"), ("i", "1"), ("i", "!"), ("l", "!"), ("i", "l"), ("l", "i"), ("s", "5"), ("s", "$"), ("g", "9"),
-    ("a", "@"), ("e", "c"), ("c", "e"), ("h", "b"), ("b", "h"), ("b", "6"), ("t", "f"), ("f", "t"), ("z", "2"), ("i", "|"),
-    ("l", "|"), ("n", "ri"), ("u", "ii"), ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("w", "vv"), ("li", "h"), ("b", "8"),
-    ("g", "q"), ("q", "g"), ("y", "v"), ("a", "o"), ("o", "a"), ("e", "o"), ("u", "v"), ("n", "u"), ("k", "lc"),
+    ("o", "0"), ("l", "1"), ("i", "1"), ("i", "!"), ("l", "!"), ("i", "|"), ("l", "|"), ("s", "5"), ("s", "$"), ("g", "9"),
+    ("a", "@"), ("b", "6"), ("b", "8"), ("i", "l"), ("l", "i"), ("e", "c"), ("h", "b"), ("t", "f"), ("n", "ri"), ("u", "ii"),
+    ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("w", "vv"), ("li", "h"), ("g", "q"),
 )
 DIGIT_LIKE = "OolIiSsbBgZz|!DQ"
 MARKS = "-‐‑¬­"
@@ -53,6 +54,8 @@ _NUMBERISH = re.compile(r"(?<![a-z])[\dolisb|!]*\d[\dolisb|!.,]*(?![a-z])")
 _FLAT = str.maketrans({"0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "$": "s", "9": "g", "q": "g", "@": "a", "e": "c", "6": "h", "b": "h", "8": "h", "f": "t", " ": None, "\t": None, "\xa0": None, "\r": None})
 _PAGE_NUMBER = re.compile(r"\W*(?:page|seite|p.gina|pag\.?|p\.|s\.)?\s*(\d{1,5})(?:\s*(?:of|von|de|sur|/)\s*\d+)?\W*", re.I)
 _PERIODS = re.compile(r"(?:january|february|march|april|may|june|july|august|september|october|november|december)?\s*\d{4}(?:\s+\d{4})+", re.I)
+_YEAR_LEFT = re.compile(r"[\dOolI]+[.,;]")  # the last word of a sentence
+_ENDS = re.compile(r"[.,;:!?]\s*$")
 _BREAK = re.compile(rf"([^\W\d_][\w!@$'’-]*)[{MARKS}]\s*$")
 _HEAD = re.compile(r"\s*([\w!@$'’]+(?:-[\w!@$'’]+)*)")
 _STRIP = ".,;:()[]{}\"“”'’‘«»—–?*•†‡¹²³™©®/"
@@ -87,16 +90,23 @@ def furniture(lines: list[str], supported: list[bool], heading: list[bool], page
     n = len(lines)
 
     def is_furniture(i: int) -> bool:
-        if heading[i] or _PERIODS.fullmatch(lines[i].strip()):
+        if heading[i] or _PERIODS.fullmatch(lines[i].strip()) or _YEAR_LEFT.fullmatch(lines[i].strip()):
             return False
         m = _PAGE_NUMBER.fullmatch(lines[i])
         return supported[i] or (m is not None and int(m[1]) in (page_index, page_index + 1))
 
     out = [False] * n
-    for run in (range(n), range(n - 1, -1, -1)):
-        for i in run:
-            if not is_furniture(i):
+    for run in (list(range(n)), list(range(n - 1, -1, -1))):
+        k = 0
+        while k < n:
+            if is_furniture(run[k]):
+                k += 1
+            # One line that recognition spoilt beyond its key may stand among the rest.
+            elif k + 1 < n and is_furniture(run[k + 1]) and not heading[run[k]] and not _PERIODS.fullmatch(lines[run[k]].strip()) and not _ENDS.search(lines[run[k]]) and k < EDGE:
+                k += 2
+            else:
                 break
+        for i in run[:k]:
             out[i] = True
     return out
 
@@ -106,7 +116,7 @@ def number_misread(token: str, before: str, after: str) -> bool:
     core = token.strip(_STRIP + "%")
     money = core[:1] in "$€£"
     core = core.lstrip("$€£").strip(_STRIP)
-    if not core:
+    if not any(map(str.isalnum, core)):
         return False
     m = _PREFIXED.fullmatch(core)
     if m:
@@ -253,7 +263,9 @@ def proposals(w: str, model: AveragedPerceptron) -> list[tuple[str, int, float]]
             if w.startswith(noisy, i):
                 edits.append((sum((gain(i + k, "D") for k in range(1, len(noisy))), gain(i, f"R:{clean}")), i, clean, noisy))
     edits.sort(key=lambda e: (-e[0], e[1], e[2]))
-    out = [(w[:i] + clean + w[i + len(noisy) :], i, score) for score, i, clean, noisy in edits[:EDITS]]
+    out = [(w[:i] + clean + w[i + len(noisy) :], i, score) for score, i, clean, noisy in edits]
+    if len(w) <= SHORT:
+        return out if len(w) == SHORT else []
     for x, (s1, i, c1, n1) in enumerate(edits[:PAIRED]):
         for s2, j, c2, n2 in edits[x + 1 : PAIRED]:
             (f, fc, fn), (g, gc, gn) = sorted(((i, c1, n1), (j, c2, n2)))
@@ -310,7 +322,8 @@ def corrections(types: DataFrame, counts: DataFrame, model: AveragedPerceptron,
     """
     proposed = types.mapInPandas(propose(model), PROPOSED)
     known = proposed.join(counts.select(F.col("word").alias("candidate"), F.col("n").alias("m")), "candidate", "left")
-    good = known.where("candidate is null or m >= n * {0} and m >= {0}".format(ratio))
+    needed = F.when(F.length("word") <= SHORT, F.lit(SHORT_RATIO)).otherwise(F.lit(ratio))
+    good = known.where(F.col("candidate").isNull() | (F.col("m") >= needed * F.greatest("n", F.lit(1))))
     best = F.max(F.struct(F.coalesce("m", F.lit(0)), "score", "candidate", "place")).alias("b")
     return good.groupBy("word").agg(best).select("word", F.col("b.candidate").alias("correction"), F.col("b.place").alias("place"))
 
