@@ -202,7 +202,7 @@ def png_problem(content: bytes) -> str | None:
         at += 12 + size
         if kind == b"IEND":
             return None if b"IDAT" in kinds and at == len(content) else "structure"
-    return "structure"
+    return "truncated" if at < len(content) else "structure"
 
 
 def png_audit(spark: SparkSession, path: str) -> DataFrame:
