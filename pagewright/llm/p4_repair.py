@@ -86,8 +86,9 @@ def skeleton_keys(text):
 
 
 def furniture(lines: list[str], supported: list[bool], heading: list[bool], page_index: int) -> list[bool]:
-    """Which lines of a page are furniture: unbroken runs from its top and its foot."""
-    n = len(lines)
+    """Which lines of a page are furniture: unbroken runs from its top and its foot, blank lines aside."""
+    filled = [i for i, t in enumerate(lines) if t.strip()]
+    n = len(filled)
 
     def is_furniture(i: int) -> bool:
         if heading[i] or _PERIODS.fullmatch(lines[i].strip()) or _YEAR_LEFT.fullmatch(lines[i].strip()):
@@ -95,8 +96,8 @@ def furniture(lines: list[str], supported: list[bool], heading: list[bool], page
         m = _PAGE_NUMBER.fullmatch(lines[i])
         return supported[i] or (m is not None and int(m[1]) in (page_index, page_index + 1))
 
-    out = [False] * n
-    for run in (list(range(n)), list(range(n - 1, -1, -1))):
+    out = [False] * len(lines)
+    for run in (filled, filled[::-1]):
         k = 0
         while k < n:
             if is_furniture(run[k]):
@@ -376,3 +377,90 @@ def found(ocr_lines: DataFrame, native_pages: DataFrame, headings: DataFrame) ->
         .unionByName(row(split, line, "misread"))
         .distinct()
     )
+
+
+# Repair. -------------------------------------------------------------------------------------
+_TO_DIGITS = str.maketrans({"O": "0", "o": "0", "D": "0", "Q": "0", "l": "1", "I": "1", "i": "1", "!": "1", "|": "1", "S": "5", "s": "5", "b": "6", "B": "8", "g": "9", "Z": "2", "z": "2"})
+REPAIRED = "doc_id string, page_index int, text string"
+
+
+def _like(correction: str, printed: str) -> str:
+    """``correction`` in the case of ``printed``."""
+    letters = [c for c in printed if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return correction.upper()
+    return correction[:1].upper() + correction[1:] if printed[:1].isupper() else correction
+
+
+def _mend_token(token: str, words: dict[str, str], numbers: set[str]) -> str:
+    if token in numbers:
+        core = token.strip(_STRIP + "%$€£")
+        return token.replace(core, core.translate(_TO_DIGITS), 1)
+    core = token.strip(_STRIP)
+    parts = [(_like(words[p.lower()], p) if p.lower() in words else p) for p in re.split(r"([-/&–—])", core)]
+    return token.replace(core, "".join(parts), 1) if core else token
+
+
+def _mend_pages(batches):
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples():
+            gone = set() if row.furniture is None else set(row.furniture)
+            joins = {} if row.breaks is None else {b["line_order"]: b for b in row.breaks}
+            words = {} if row.words is None else {w["word"]: w["correction"] for w in row.words}
+            numbers = set() if row.numbers is None else set(row.numbers)
+            lines = [(x["line_order"], x["text"] or "") for x in row.lines if x["line_order"] not in gone]
+            width = max((len(t) for _, t in lines), default=0)
+            paragraphs, open_, skip = [], "", None
+            for order, text in lines:
+                s = text.strip()
+                tokens = s.split()
+                if skip is not None and tokens:
+                    # The first word went to the line before; what follows its letters stays.
+                    tail = tokens[0][len(skip) :] if tokens[0].startswith(skip) else ""
+                    tokens = tokens[1:]
+                    open_ += tail
+                    skip = None
+                if not s:
+                    paragraphs.append(open_)
+                    open_ = ""
+                    continue
+                b = joins.get(order)
+                half = tokens.pop() if b and tokens else None
+                mended = " ".join(_mend_token(t, words, numbers) for t in tokens)
+                apart = _ENTRY_OR_ROW.search(s) is not None
+                if apart and open_:
+                    paragraphs.append(open_)
+                    open_ = ""
+                open_ = f"{open_} {mended}".strip()
+                if half is not None:
+                    lead = half[: half.lower().find(b["left_part"].lower())] if b["left_part"].lower() in half.lower() else ""
+                    whole = b["left_part"] + b["right_part"]
+                    whole = _like(b["correction"], whole) if b["correction"] else whole
+                    open_, skip = f"{open_} {lead}{whole}".strip(), b["right_part"]
+                elif apart or (_ENDS.search(s) and len(s) < 0.7 * width):
+                    paragraphs.append(open_)
+                    open_ = ""
+            paragraphs.append(open_)
+            out.append((row.doc_id, row.page_index, "\n\n".join(p for p in paragraphs if p)))
+        yield pd.DataFrame(out, columns=["doc_id", "page_index", "text"])
+
+
+_ENTRY_OR_ROW = re.compile(r"^(?:[•*▪–-]|\(?[a-z0-9]{1,2}[.)])\s|(?:[\s|](?:\(?[$€£]?\d[\d.,]*%?\)?|—)){2,}\s*$")
+
+
+def repaired(ocr_lines: DataFrame, native_pages: DataFrame, headings: DataFrame) -> DataFrame:
+    """(doc_id, page_index, text): every scanned page as paragraphs, without furniture, halves
+    joined, misread words and numbers put right where the right form is known."""
+    ev, breaks, wrong = analyse(ocr_lines, native_pages, headings)
+    page = ["doc_id", "page_index"]
+    lines = ocr_lines.where("doc_id is not null and page_index is not null and line_order is not null")
+    pages = lines.groupBy(*page).agg(F.array_sort(F.collect_set(F.struct("line_order", "text"))).alias("lines"))
+    pages = pages.withColumn("lines", F.filter("lines", lambda x, i: (i == 0) | (x["line_order"] != F.get("lines", i - 1)["line_order"])))
+    known = wrong.where("correction is not null").select("word", "correction")
+    words = ev.where("kind = 'word'").join(known, "word").groupBy(*page).agg(F.collect_set(F.struct("word", "correction")).alias("words"))
+    joined = breaks.where("is_break").join(known.withColumnRenamed("word", "joined"), "joined", "left")
+    joined = joined.groupBy(*page).agg(F.collect_list(F.struct("line_order", "left_part", "right_part", "correction")).alias("breaks"))
+    other = ev.groupBy(*page).agg(F.collect_set(F.when(F.col("kind") == "furniture", F.col("line_order"))).alias("furniture"), F.collect_set(F.when(F.col("kind") == "number", F.col("word"))).alias("numbers"))
+    df = pages.join(other, page, "left").join(words, page, "left").join(joined, page, "left")
+    return df.mapInPandas(_mend_pages, REPAIRED)

@@ -66,6 +66,10 @@ def p4_found(spark, d):
     return p4.found(*_scans(spark, d))
 
 
+def p4_pages(spark, d):
+    return p4.repaired(*_scans(spark, d))
+
+
 def _kinds(spark, d):
     return p5.kinds(table(spark, d, "native_pages", "doc_id", "page_index", "raw_text"), table(spark, d, "page_headings"), table(spark, d, "common_words"))
 
@@ -120,5 +124,5 @@ def p8_kept(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_pages, p2_questions, p3_found, p3_pieces, p4_found, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
+    for f in (p1_found, p1_clean, p2_found, p2_pages, p2_questions, p3_found, p3_pieces, p4_found, p4_pages, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
 }

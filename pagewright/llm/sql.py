@@ -1 +1,33 @@
-ORACLE: dict[str, str] = {}
+"""SQL (DuckDB) for the queries that it can express; the rest is tested against brute force."""
+
+from __future__ import annotations
+
+from pagewright.llm.p1_boilerplate import MIN_PAGES, MIN_SHARE_PERCENT
+from pagewright.llm.p8_residue import PHRASES, SLOT
+from pagewright.plans import sqltext as S
+
+_KEY = f"regexp_replace(regexp_replace(line, '[{S.SPACE}]+', '', 'g'), '[0-9]+', '#', 'g')"
+_LINES = f"""WITH page AS (SELECT doc_id, page_index, max(raw_text) AS raw_text FROM native_pages WHERE doc_id IS NOT NULL AND page_index IS NOT NULL AND {S.not_blank('raw_text')} GROUP BY ALL),
+line AS (SELECT doc_id, page_index, CAST(i AS INTEGER) AS line_no, parts[i + 1] AS line FROM (SELECT *, unnest(range(len(parts))) AS i FROM (SELECT doc_id, page_index, string_split(lower({S.nfkc('raw_text')}), chr(10)) AS parts FROM page))),
+keyed AS (SELECT doc_id, page_index, line_no, {_KEY} AS k FROM line),
+support AS (SELECT doc_id, k, count(DISTINCT page_index) AS n FROM keyed WHERE k <> '' GROUP BY ALL),
+total AS (SELECT doc_id, count(*) AS pages FROM page GROUP BY ALL),
+kept AS (SELECT doc_id, k FROM support JOIN total USING (doc_id) WHERE n >= {MIN_PAGES} AND n * 100 >= {MIN_SHARE_PERCENT} * pages)
+"""
+
+_WINDOW = """WITH newest AS (SELECT doc_id, page_count FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY registered_at DESC NULLS LAST, page_count DESC NULLS LAST) AS n FROM doc_records) WHERE n = 1 AND page_count > 0),
+w AS (SELECT DISTINCT window_id, doc_id, model_id, strategy, start_page, end_page FROM page_windows WHERE start_page IS NOT NULL),
+pages AS (SELECT w.*, least(coalesce(end_page, page_count), page_count) - greatest(start_page, 0) AS n FROM w JOIN newest USING (doc_id))
+"""
+
+_SIZED = f"sized AS (SELECT doc_id, source, coalesce(n_tokens, len({S.tokens('text')}), 0) AS size FROM documents)"
+_RESIDUE = " OR ".join([f"regexp_matches(text, {S.quote(SLOT)})", *(f"regexp_matches(text, {S.quote(p)})" for _, p in PHRASES)])
+
+ORACLE: dict[str, str] = {
+    "p1_found": _LINES + "SELECT doc_id, page_index, line_no FROM keyed SEMI JOIN kept USING (doc_id, k)",
+    "p3_found": _WINDOW + "SELECT DISTINCT window_id FROM pages JOIN model_limits USING (model_id) WHERE n > max_pages",
+    "p6_found": f"WITH {_SIZED} SELECT capacity_tokens, doc_id FROM sized, (SELECT DISTINCT capacity_tokens FROM pack_specs) WHERE size > capacity_tokens",
+    "p7_found": f"WITH {_SIZED} SELECT t.source FROM mix_targets t LEFT JOIN (SELECT source, sum(size) AS size FROM sized GROUP BY source) s USING (source), (SELECT sum(size) AS total FROM sized) WHERE coalesce(s.size, 0) * t.max_repeats < t.target_share * total",
+    "p8_found": f"SELECT doc_id FROM documents WHERE coalesce({_RESIDUE}, false)",
+    "p8_kept": f"SELECT doc_id FROM documents WHERE NOT coalesce({_RESIDUE}, false)",
+}
