@@ -22,7 +22,6 @@ kind.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -50,6 +49,7 @@ _SENTENCE_END = re.compile(r"[.!?][”\"')\]¹²³†‡]*(?:\s|$)")
 _END_PUNCTUATION = re.compile(r"[.!?:;][”\"')\]¹²³†‡]*\s*$")
 _VOWELS = frozenset("aeiouyäöüéèáíóúàâêîôûëïœæãõåøαεηιουωέάаеиоуыэюя")
 _FIGURE_ENDS = frozenset("0123456789%)—lIOoSBb")
+_MIX = np.int64(6364136223846793005)  # spreads the codes of word sequences over 64 bits
 _PARAGRAPHS = re.compile(r"\n\s*\n")
 
 JUNK_SHARE = 0.5
@@ -102,34 +102,23 @@ def line_class(s: str, low: list[str], letters: int, common: frozenset) -> str:
 
 
 def _top_shares(words: list[str], total: int) -> tuple[float, float, float]:
-    """For n = 2, 3, 4: the share of the page's letters that its commonest n-gram covers."""
+    """For n = 2, 3, 4: the largest share of the page's letters that one repeated n-gram covers."""
     if len(words) < 5 or not total:
         return 0.0, 0.0, 0.0
-    ids: dict[str, int] = {}
-    first = np.fromiter([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64, count=len(words))
-    names, base = list(ids), len(ids)
-    if base >= 50_000:  # four ids no longer fit one code
-        return tuple(_top_share_counted(words, n, total) for n in (2, 3, 4))
-    gram, shares = first, []
+    code = np.array(list(map(hash, words)), dtype=np.int64)
+    size = np.array(list(map(len, words)), dtype=np.int64)
+    gram, letters, shares = code, size, []
     for n in (2, 3, 4):
-        gram = gram[:-1] * base + first[n - 1 :]
-        ordered = np.sort(gram)
-        starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-        times = np.diff(starts, append=len(ordered))
-        k = int(times.argmax())
-        top, code, letters = int(times[k]), int(ordered[starts[k]]), 0
-        for _ in range(n):
-            code, w = divmod(code, base)
-            letters += len(names[w])
-        shares.append(round(min(1.0, top * letters / total), 4) if top > 1 else 0.0)
+        gram, letters = gram[:-1] * _MIX + code[n - 1 :], letters[:-1] + size[n - 1 :]
+        order = gram.argsort()
+        placed = gram[order]
+        starts = np.concatenate(([0], np.flatnonzero(placed[1:] != placed[:-1]) + 1))
+        times = np.diff(starts, append=len(placed))
+        covered = int((letters[order[starts]] * times)[times > 1].max(initial=0))
+        shares.append(round(min(1.0, covered / total), 4))
     return tuple(shares)
 
 
-def _top_share_counted(words: list[str], n: int, total: int) -> float:
-    gram, top = Counter(zip(*(words[i:] for i in range(n)))).most_common(1)[0]
-    return round(min(1.0, top * sum(map(len, gram)) / total), 4) if top > 1 else 0.0
-
-
 def page_figures(text: str, common: frozenset) -> tuple:
     words, classes, seen, filled, ends, letters, known = [], [], set(), 0, 0, 0, 0
     for line in text.split("\n"):
