@@ -144,19 +144,20 @@ def slots_outside_code(text: Column) -> Column:
     return prose.rlike(SLOT) & ~tutorial
 
 
-def flag(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``residue``: the kinds found, in fixed order; empty for clean texts."""
-    m = F.col("_matched")
-    hit = [F.when((m.bitwiseAND(1) > 0) & slots_outside_code(F.col("text")), F.lit(KINDS[0]))]
-    hit += [F.when(m.bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(KINDS) if i]
-    return documents.withColumn("_matched", _matched("text")).withColumn("residue", F.array_compact(F.array(*hit))).drop("_matched")
+def _kinds(matched: Column, text: Column) -> Column:
+    """The kinds found, in fixed order; empty for clean texts."""
+    hit = [F.when((matched.bitwiseAND(1) > 0) & slots_outside_code(text), F.lit(KINDS[0]))]
+    hit += [F.when(matched.bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(KINDS) if i]
+    return F.array_compact(F.array(*hit))
 
 
 def find(documents: DataFrame) -> DataFrame:
     """(doc_id, residue) of the documents with residue."""
-    return flag(documents.select("doc_id", "text")).where(F.size("residue") > 0).select("doc_id", "residue")
+    d = documents.select("doc_id", "text").withColumn("matched", _matched("text")).where("matched > 0")
+    return d.select("doc_id", _kinds(F.col("matched"), F.col("text")).alias("residue")).where(F.size("residue") > 0)
 
 
 def keep_clean(documents: DataFrame) -> DataFrame:
     """The documents without residue, all columns as they came."""
-    return flag(documents).where(F.size("residue") == 0).drop("residue")
+    own = "__residue_matched"
+    return documents.withColumn(own, _matched("text")).where(F.size(_kinds(F.col(own), F.col("text"))) == 0).drop(own)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagewright.llm.p1_boilerplate import MIN_PAGES, MIN_SHARE_PERCENT
+from pagewright.llm import p2_lookalikes as p2
 from pagewright.llm.p8_residue import PHRASES, SLOT
 from pagewright.plans import sqltext as S
 
@@ -23,7 +24,26 @@ pages AS (SELECT w.*, least(coalesce(end_page, page_count), page_count) - greate
 _SIZED = f"sized AS (SELECT doc_id, source, coalesce(n_tokens, len({S.tokens('text')}), 0) AS size FROM documents)"
 _RESIDUE = " OR ".join([f"regexp_matches(text, {S.quote(SLOT)})", *(f"regexp_matches(text, {S.quote(p)})" for _, p in PHRASES)])
 
+
+
+def _mapped(c: str) -> str:
+    """The look-alike map of p2 in this dialect."""
+    v = f"translate(regexp_replace({c}, {S.quote(p2.INVISIBLE_CLASS)}, '', 'g'), {S.quote(p2._PLAIN_FROM)}, {S.quote(p2._PLAIN_TO)})"
+    for a, b in p2.LIGATURES.items():
+        v = f"replace({v}, {S.quote(a)}, {S.quote(b)})"
+    mixed = f"regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(w, {S.quote(p2.LOOK_CLASS)})"
+    word = f"CASE WHEN {mixed} THEN translate(w, {S.quote(p2.LOOK_FROM)}, {S.quote(p2.LOOK_TO)}) ELSE w END"
+    return f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({v}, '\\p{{L}}[\\p{{L}}\\p{{M}}]*|[^\\p{{L}}]+'), lambda w: {word}), ''))"
+
+
+_TRIMMED = "trim(regexp_replace(question, '[ \\t\\r\\n]+', ' ', 'g'))"
+_CLEAN = "CASE WHEN g.gone IS NULL OR NOT {0} THEN r.raw_text ELSE array_to_string(list_transform(list_filter(range(len(string_split(r.raw_text, chr(10)))), lambda i: NOT list_contains(g.gone, i)), lambda i: string_split(r.raw_text, chr(10))[i + 1]), chr(10)) END".format(S.not_blank("r.raw_text"))
+
 ORACLE: dict[str, str] = {
+    "p1_clean": _LINES.rstrip()
+    + ", gone AS (SELECT doc_id, page_index, list(line_no) AS gone FROM keyed SEMI JOIN kept USING (doc_id, k) GROUP BY ALL) "
+    + f"SELECT r.doc_id, r.page_index, {_CLEAN} AS clean_text FROM (SELECT DISTINCT doc_id, page_index, raw_text FROM native_pages) r LEFT JOIN gone g USING (doc_id, page_index)",
+    "p2_questions": f"SELECT DISTINCT task_id, doc_id, question, {_mapped(_TRIMMED)} AS canonical FROM retrieval_queries WHERE {S.not_blank('question')}",
     "p1_found": _LINES + "SELECT doc_id, page_index, line_no FROM keyed SEMI JOIN kept USING (doc_id, k)",
     "p3_found": _WINDOW + "SELECT DISTINCT window_id FROM pages JOIN model_limits USING (model_id) WHERE n > max_pages",
     "p6_found": f"WITH {_SIZED} SELECT capacity_tokens, doc_id FROM sized, (SELECT DISTINCT capacity_tokens FROM pack_specs) WHERE size > capacity_tokens",

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import p8_residue as p8
 
@@ -31,6 +32,7 @@ def test_clean(spark):
 def test_long_text_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "x " * 500_000 + "{{late_slot}}", "kept", 5)], "doc_id long, text string, residue string, _matched int")
     assert p8.find(df).count() == 1
+    assert p8.keep_clean(df.withColumn("text", F.lit("clean"))).first().asDict() == {"doc_id": 1, "text": "clean", "residue": "kept", "_matched": 5}
     assert p8.find(df.limit(0)).count() == 0
 
 
