@@ -6,7 +6,12 @@ average length; pages without a query term score 0 and tie by page index.
 Scale. Statistics for scoring are only made for terms that some query of the report
 asks for (a semi-join before the aggregation); reports without a query are never
 tokenized. Joins run on (report, term), which spreads a large report over its
-vocabulary; the candidate join is salted by page.
+vocabulary; the candidate join is salted by page. Tokens are cut once, since the
+statistics, the frequencies and the scores all read them.
+
+Edge cases. A page's null text has no tokens and its length is not counted, but the page
+is; questions without tokens score 0 on every page; a report without pages gives no
+row; extra columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import tokenize
+from pagewright.session import cut
 
 Analyzer = Callable[[Column], Column]
 SALTS = 16
@@ -62,7 +68,7 @@ def contributions(queries: DataFrame, pages: DataFrame, analyzer: Analyzer = tok
     guard(k1, b)
     wanted = query_terms(queries, analyzer)
     asked = pages.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
-    tokens = page_tokens(asked, analyzer)
+    tokens = cut(page_tokens(asked, analyzer))  # read three times below
     stats = report_stats(tokens)
     hits = (
         tokens.select("doc_id", "page_index", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
