@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import is_blank
 from pagewright.llm.pages import line_keys, with_text
 from pagewright.session import cut
 
@@ -141,5 +142,5 @@ def remove_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
     lines = found.groupBy("doc_id", "page_index").agg(F.collect_set("line_no").alias("_gone"))
     split = F.split("raw_text", "\n", -1)
     kept = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
-    clean = F.when(F.col("_gone").isNull(), F.col("raw_text")).otherwise(F.array_join(kept, "\n"))
+    clean = F.when(F.col("_gone").isNull() | is_blank(F.col("raw_text")), F.col("raw_text")).otherwise(F.array_join(kept, "\n"))
     return pages.join(lines, ["doc_id", "page_index"], "left").withColumn("clean_text", clean).drop("_gone")
