@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import PY_SPACE, collapse_space
+from pagewright.functions.text import PY_SPACE, casefold, collapse_space
 
 # Fixed value: a money-like number, with sign, brackets and thousands commas.
 NUMBER = rf"[-+]?\(?\$?[{PY_SPACE}]*([0-9][0-9,]*(?:\.[0-9]+)?)[{PY_SPACE}]*\)?"
@@ -13,7 +13,7 @@ NUMBER = rf"[-+]?\(?\$?[{PY_SPACE}]*([0-9][0-9,]*(?:\.[0-9]+)?)[{PY_SPACE}]*\)?"
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - Levenshtein distance / longer length, of case-folded, space-collapsed texts; 1 for two empty ones."""
-    x, y = (collapse_space(F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))) for c in (a, b))
+    x, y = (collapse_space(casefold(c)) for c in (a, b))
     return 1.0 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
 
 

@@ -42,6 +42,7 @@ def _apply(fn):
 
 
 _nfkc = _apply(lambda t: unicodedata.normalize("NFKC", t))
+_casefold = _apply(str.casefold)
 _nfkc_fold = _apply(lambda t: " ".join(unicodedata.normalize("NFKC", t).replace("\u2212", "-").split()).casefold())
 
 
@@ -59,6 +60,11 @@ def nfkc(text: Column) -> Column:
     return only_where(has_non_ascii(text), text, _nfkc)
 
 
+def casefold(text: Column) -> Column:
+    """Unicode case folding (as ``s.casefold()``), nothing else."""
+    return F.coalesce(_casefold(F.when(has_non_ascii(text), text)), F.lower(text))
+
+
 def collapse_space(text: Column) -> Column:
     """Runs of white space to one space, ends trimmed (as ``" ".join(s.split())``)."""
     return F.trim(F.regexp_replace(text, f"[{PY_SPACE}]+", " "))

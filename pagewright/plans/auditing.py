@@ -270,20 +270,22 @@ def _plain(c: str) -> str:
     return f"trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '[{S.SPACE}]+', ' ', 'g'))"
 
 
-# DuckDB's levenshtein counts bytes; texts are brought to one byte a character on both sides.
+# DuckDB's levenshtein counts bytes; the SQL brings texts to one byte a character.
 _ONE_BYTE = "regexp_replace({}, '[^\\x00-\\x7f]', '?', 'g')"
 _A, _B = _plain(_ONE_BYTE.format("question")), _plain(_ONE_BYTE.format("prior"))
 
 
 @query(f"SELECT task_id, doc_id, round(1.0 - levenshtein({_A}, {_B}) / greatest(length({_A}), length({_B}), 1), 6) AS similarity FROM (SELECT *, lag(question) OVER (PARTITION BY doc_id ORDER BY task_id, question) AS prior FROM (SELECT DISTINCT task_id, doc_id, question FROM retrieval_queries WHERE question IS NOT NULL)) WHERE prior IS NOT NULL")
 def edit_similarity(spark, d):
-    """Each question against the one before it in its report."""
+    """Each question, whole, against the one before it in its report.
+
+    The SQL sees every non-ASCII character as '?', so it differs where such characters do.
+    """
     from pyspark.sql import Window
 
     q = table(spark, d, "retrieval_queries", "task_id", "doc_id", "question").distinct().where("question is not null")
     q = q.withColumn("prior", F.lag("question").over(Window.partitionBy("doc_id").orderBy("task_id", "question"))).where("prior is not null")
-    one = lambda c: F.regexp_replace(c, r"[^\x00-\x7f]", "?")
-    return q.select("task_id", "doc_id", F.round(metrics.edit_similarity(one("question"), one("prior")), 6).alias("similarity"))
+    return q.select("task_id", "doc_id", F.round(metrics.edit_similarity(F.col("question"), F.col("prior")), 6).alias("similarity"))
 
 
 _PAIRS = (("$1,000.00", "1005", 0.01), ("(125)", "-125", 0.0), ("1000", "1200", 0.01), ("no number", "1", 0.5), ("about $ 12.5 million", "12.50", 0.001), ("-3", "3", 0.1))
