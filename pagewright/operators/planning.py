@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from pagewright.session import cut
+
 PAGE_SIZES = (1, 2, 5, 10, 20, 40)
 ANNUAL_TYPES = ("10k", "10k_annualreport")
 
@@ -116,8 +118,17 @@ def pilot_selection(inventory: DataFrame, companies: int = 4, per_company: int =
 
 
 def numeric_aware_order(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``position``: ids of digits first, by number, then the rest as strings."""
+    """``df`` with ``position``: ids of digits first, by number, then the rest as strings.
+
+    Rows are split into ranges and numbered in each; a range starts after the rows of those
+    before it. Only the ranges' sizes, one row each, pass a global order.
+    """
     c = F.col(column)
     digits = c.rlike(r"^\p{Nd}+$")
-    order = Window.orderBy(~digits, F.when(digits, c.try_cast("decimal(38,0)")), c)
-    return df.withColumn("position", F.row_number().over(order))
+    keys = df.select("*", (~digits).alias("_rest"), F.when(digits, c.try_cast("decimal(38,0)")).alias("_number"))
+    order = ["_rest", "_number", column]
+    ranged = cut(keys.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_inside", inside).join(starts, "_range").select(*df.columns, (F.col("_start") + F.col("_inside")).cast("int").alias("position"))

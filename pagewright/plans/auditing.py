@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import metrics
 from pagewright.functions.text import is_blank
-from pagewright.operators import audit, pages, planning
+from pagewright.operators import audit, headings, pages, planning
 from pagewright.plans import sqltext as S
 from pagewright.plans.ranking import _labels, _pages, _queries, _with
 from pagewright.sources import readers
@@ -265,6 +266,11 @@ def numeric_aware_order(spark, d):
     return planning.numeric_aware_order(spark.sql(f"SELECT id FROM VALUES {_NUMBERED} AS v(id)"), "id")
 
 
+@query("SELECT task_id, CAST(row_number() OVER (ORDER BY NOT regexp_matches(task_id, '^[0-9]+$'), try_cast(task_id AS DECIMAL(38, 0)), task_id) AS INTEGER) AS position FROM (SELECT DISTINCT task_id FROM retrieval_queries WHERE task_id IS NOT NULL)")
+def task_order(spark, d):
+    return planning.numeric_aware_order(table(spark, d, "retrieval_queries", "task_id").distinct().where("task_id is not null"), "task_id")
+
+
 # Metrics and review. ------------------------------------------------------------------------
 def _plain(c: str) -> str:
     return f"trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '[{S.SPACE}]+', ' ', 'g'))"
@@ -275,24 +281,27 @@ _ONE_BYTE = "regexp_replace({}, '[^\\x00-\\x7f]', '?', 'g')"
 _A, _B = _plain(_ONE_BYTE.format("question")), _plain(_ONE_BYTE.format("prior"))
 
 
+def _neighbours(spark, d):
+    """Each question with the one before it in its report, as ``prior``."""
+    q = table(spark, d, "retrieval_queries", "task_id", "doc_id", "question").distinct().where("question is not null")
+    return q.withColumn("prior", F.lag("question").over(Window.partitionBy("doc_id").orderBy("task_id", "question"))).where("prior is not null")
+
+
 @query(f"SELECT task_id, doc_id, round(1.0 - levenshtein({_A}, {_B}) / greatest(length({_A}), length({_B}), 1), 6) AS similarity FROM (SELECT *, lag(question) OVER (PARTITION BY doc_id ORDER BY task_id, question) AS prior FROM (SELECT DISTINCT task_id, doc_id, question FROM retrieval_queries WHERE question IS NOT NULL)) WHERE prior IS NOT NULL")
 def edit_similarity(spark, d):
     """Each question, whole, against the one before it in its report.
 
     The SQL sees every non-ASCII character as '?', so it differs where such characters do.
     """
-    from pyspark.sql import Window
-
-    q = table(spark, d, "retrieval_queries", "task_id", "doc_id", "question").distinct().where("question is not null")
-    q = q.withColumn("prior", F.lag("question").over(Window.partitionBy("doc_id").orderBy("task_id", "question"))).where("prior is not null")
+    q = _neighbours(spark, d)
     return q.select("task_id", "doc_id", F.round(metrics.edit_similarity(F.col("question"), F.col("prior")), 6).alias("similarity"))
 
 
 _PAIRS = (("$1,000.00", "1005", 0.01), ("(125)", "-125", 0.0), ("1000", "1200", 0.01), ("no number", "1", 0.5), ("about $ 12.5 million", "12.50", 0.001), ("-3", "3", 0.1))
 
 
-def _number_sql(c: str) -> str:
-    whole = f"regexp_extract({c}, '[-+]?\\(?\\$?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)\\s*\\)?', {{}})"
+def _number_sql(c: str, space: str = r"\s") -> str:
+    whole = f"regexp_extract({c}, '[-+]?\\(?\\$?{space}*([0-9][0-9,]*(?:\\.[0-9]+)?){space}*\\)?', {{}})"
     v = f"try_cast(replace({whole.format(1)}, ',', '') AS DOUBLE)"
     w = whole.format(0)
     return f"CASE WHEN {w} = '' THEN NULL WHEN starts_with(ltrim({w}), '-') OR (contains({w}, '(') AND contains({w}, ')')) THEN -{v} ELSE {v} END"
@@ -304,6 +313,15 @@ def numeric_match(spark, d):
     return df.select("a", "b", metrics.numeric_match(F.col("a"), F.col("b"), F.col("t")).alias("matches"))
 
 
+_WIDE = "[" + S.SPACE.replace("{", "{{").replace("}", "}}") + "]"
+
+
+@query(f"SELECT task_id, doc_id, coalesce(abs(x - y) <= greatest(0.01e0 * greatest(abs(x), abs(y)), 0.01e0), false) AS matches FROM (SELECT task_id, doc_id, {_number_sql('prior', _WIDE)} AS x, {_number_sql('question', _WIDE)} AS y FROM (SELECT *, lag(question) OVER (PARTITION BY doc_id ORDER BY task_id, question) AS prior FROM (SELECT DISTINCT task_id, doc_id, question FROM retrieval_queries WHERE question IS NOT NULL)) WHERE prior IS NOT NULL)")
+def question_number_match(spark, d):
+    """Whether each question and the one before it in its report name the same number."""
+    return _neighbours(spark, d).select("task_id", "doc_id", metrics.numeric_match(F.col("prior"), F.col("question"), 0.01).alias("matches"))
+
+
 _RISK_SQL = _with(
     "c AS (SELECT doc_id, page_index, 1 - avg(confidence) AS disagreement, count(*) FILTER (confidence IS NULL) > 0 AS malformed, count(*) FILTER (regexp_matches(text, '[0-9][A-Za-z]')) / count(*) AS numeric_share, 1 - count(DISTINCT text) / count(*) AS repetition FROM (SELECT DISTINCT doc_id, page_index, line_order, text, confidence FROM ocr_lines) GROUP BY ALL)",
     "k AS (SELECT doc_id, page_index, round(0.4e0 * least(1, greatest(0, coalesce(disagreement, 0))) + 0.25e0 * CAST(malformed AS INTEGER) + 0.25e0 * numeric_share + 0.1e0 * repetition, 9) AS risk FROM c)",
@@ -363,17 +381,44 @@ def split_marked_issues(spark, d):
     return readers.split_marked(spark.createDataFrame(_MARKED, "id string, text string"), "id", "text")[1]
 
 
+def _marked_reports(spark, d):
+    """(doc_id, text): every report as one text of '# Page N' lines and pages; empty without pages.
+
+    A page before the first is marked 0, which no report may count from.
+    """
+    number = F.greatest(F.col("page_index") + 1, F.lit(0))
+    page = F.struct("page_index", F.concat(F.lit("# Page "), number, F.lit("\n"), "raw_text").alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda x: x["t"]), "\n").alias("text")
+    joined = _pages(spark, d).groupBy("doc_id").agg(text)
+    known = table(spark, d, "doc_records", "doc_id").where("doc_id is not null").distinct()
+    return joined.join(known, "doc_id", "full").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+_COUNTED = "counted AS (SELECT doc_id, min(page_index) = 0 AND max(page_index) = count(*) - 1 AS whole FROM pages GROUP BY doc_id)"
+
+
+@query(_with(S.PAGES, _COUNTED) + f"SELECT doc_id, page_index, md5(regexp_replace(raw_text, '^[{S.SPACE}]+|[{S.SPACE}]+$', '', 'g')) AS text_md5 FROM pages JOIN counted USING (doc_id) WHERE whole")
+def marked_report_pages(spark, d):
+    p = readers.split_marked(_marked_reports(spark, d), "doc_id", "text")[0]
+    return p.select("doc_id", "page_index", F.md5("page_text").alias("text_md5"))
+
+
+@query(_with(S.PAGES, S.DOCS, _COUNTED) + "SELECT doc_id, CASE WHEN whole IS NULL THEN 'no_markers' ELSE 'not_contiguous' END AS code FROM (SELECT doc_id FROM docs UNION SELECT doc_id FROM pages) LEFT JOIN counted USING (doc_id) WHERE whole IS NOT TRUE")
+def marked_report_issues(spark, d):
+    return readers.split_marked(_marked_reports(spark, d), "doc_id", "text")[1]
+
+
 _SCOPES = (("r", 0, 3, "Operations", 10), ("r", 0, 20, "Markets", 40), ("r", 1, 7, "Risks", 30), ("r", 3, 2, "Notes", 12))
 
 
 @query("SELECT doc, page, start, coalesce(lead(start) OVER (PARTITION BY doc, page ORDER BY start), length) AS scope_end, CASE WHEN lag_page = page - 1 THEN prior END AS inherited FROM (SELECT *, max(last) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS unused FROM (SELECT s.*, p.prior, p.lag_page, NULL AS last FROM (VALUES " + ", ".join(f"('{a}', {b}, {c}, '{t}', {n})" for a, b, c, t, n in _SCOPES) + ") s(doc, page, start, title, length) LEFT JOIN (SELECT doc, page, lag(title) OVER (PARTITION BY doc ORDER BY page) AS prior, lag(page) OVER (PARTITION BY doc ORDER BY page) AS lag_page FROM (SELECT doc, page, arg_max(title, start) AS title FROM (VALUES " + ", ".join(f"('{a}', {b}, {c}, '{t}', {n})" for a, b, c, t, n in _SCOPES) + ") s(doc, page, start, title, length) GROUP BY ALL)) p USING (doc, page)))")
 def scope_and_inheritance(spark, d):
-    """Scopes end at the next boundary; a page inherits the last heading of the page right before it."""
-    from pyspark.sql import Window
-
-    h = spark.createDataFrame(_SCOPES, "doc string, page int, start int, title string, length int")
-    last = h.groupBy("doc", "page").agg(F.max_by("title", "start").alias("t"))
-    w = Window.partitionBy("doc").orderBy("page")
-    last = last.select("doc", "page", F.when(F.lag("page").over(w) == F.col("page") - 1, F.lag("t").over(w)).alias("inherited"))
-    end = F.coalesce(F.lead("start").over(Window.partitionBy("doc", "page").orderBy("start")), "length")
-    return h.withColumn("scope_end", end).join(last, ["doc", "page"], "left").select("doc", "page", "start", "scope_end", "inherited")
+    """``headings.entries`` on fixed headings; ``heading_observation`` has the scopes of every page of the tables."""
+    h = spark.createDataFrame(_SCOPES, "doc_id string, page_index int, start int, title string, length int")
+    heading = F.struct(F.lit("title").alias("kind"), F.col("title").alias("heading_text"), F.col("start").alias("source_start"), (F.col("start") + F.length("title")).alias("source_end"))
+    page = h.groupBy("doc_id", "page_index").agg(F.max("length").alias("length"), F.collect_list(heading).alias("headings"))
+    resets = F.array().cast("array<struct<offset int, reason string>>").alias("resets")
+    held = headings.entries(page.select("doc_id", "page_index", F.struct(F.lit(0).alias("first"), "length", F.lit(False).alias("blank"), "headings", resets).alias("o")))
+    above = held.where("mode = 'inherited'").select("doc_id", "page_index", F.col("heading_text").alias("inherited"))
+    own = held.where("mode = 'observed'").join(above, ["doc_id", "page_index"], "left")
+    return own.select(F.col("doc_id").alias("doc"), F.col("page_index").alias("page"), F.col("scope_start").alias("start"), "scope_end", "inherited")
