@@ -5,7 +5,8 @@ by best-fit decreasing and gets a lower bound on its number of containers from
 dual-feasible functions. Where the bound equals the number used, the packing of that
 partition is certified optimal. Partitions with a gap give up the documents of their
 loosest containers; those of several partitions are pooled, packed again, and the new
-containers replace the old ones where they are fewer. Repeats for ``rounds`` rounds.
+containers replace the old ones where they are fewer. Repeats until no partition has
+a gap or a round saves no container.
 
 Only a document larger than the capacity is split: into pieces of exactly the
 capacity and one rest, so that its token spans are [start, end).
@@ -21,6 +22,8 @@ container. Capacities null or below 1 are ignored; duplicates of a capacity coun
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,7 +33,6 @@ from pagewright.functions.text import token_count
 from pagewright.session import cut
 
 PER_PART = 20_000
-ROUNDS = 2
 POOL = 16  # partitions whose loose documents are packed together
 LOOSE_FACTOR = 6  # room of the containers given up, in multiples of the gap
 
@@ -158,10 +160,18 @@ def _repack(turn: int):
     return run
 
 
-def pack(documents: DataFrame, specs: DataFrame, per_part: int = PER_PART, rounds: int = ROUNDS) -> DataFrame:
+def _totals(packed: DataFrame) -> tuple[int, int]:
+    """Containers used, and how many of them are above the partitions' bounds."""
+    each = packed.select("capacity_tokens", "part", "used", "bound").distinct()
+    used, gap = each.agg(F.sum("used"), F.sum(F.col("used") - F.col("bound"))).first()
+    return used or 0, gap or 0
+
+
+def pack(documents: DataFrame, specs: DataFrame, per_part: int = PER_PART, rounds: int | None = None) -> DataFrame:
     """Every piece of every document with its container (part, bin), at each capacity.
 
     ``bound`` and ``used`` tell how many containers the partition needs at least, and uses.
+    ``rounds``: at most so many rounds of exchange; None for all that save a container.
     """
     todo = cut(pieces(sizes(documents), specs))
     most = todo.groupBy("capacity_tokens").count().agg(F.max("count")).first()[0] or 0
@@ -169,13 +179,18 @@ def pack(documents: DataFrame, specs: DataFrame, per_part: int = PER_PART, round
     part = F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(parts))
     dealt = todo.withColumn("part", part).withColumns({"bin": F.lit(0).cast("long"), "bound": F.lit(0).cast("long"), "used": F.lit(0).cast("long")})
     packed = cut(dealt.groupBy("capacity_tokens", "part").applyInPandas(_pack_part, PACKED))
-    for turn in range(rounds):
-        if parts == 1 or packed.where("used > bound").isEmpty():
+    before, gap = _totals(packed)
+    for turn in itertools.count() if rounds is None else range(rounds):
+        if parts == 1 or not gap:
             break
         mixed = cut(_loose(packed, -(-parts // POOL), turn))
         moved = mixed.where("pool is not null").groupBy("capacity_tokens", "pool").applyInPandas(_repack(turn), PACKED)
         again = mixed.where("pool is null").select(*COLUMNS).unionByName(moved)
         packed = cut(again.groupBy("capacity_tokens", "part").applyInPandas(_certified, PACKED))
+        used, gap = _totals(packed)
+        if used == before:
+            break
+        before = used
     return packed
 
 
