@@ -52,7 +52,8 @@ def only_where(condition: Column, text: Column, udf) -> Column:
 
 
 def has_non_ascii(text: Column) -> Column:
-    return text.rlike(r"[^\x00-\x7f]")
+    """More bytes than characters; no pattern has to look at each of them."""
+    return F.octet_length(text) != F.length(text)
 
 
 def nfkc(text: Column) -> Column:
@@ -72,10 +73,7 @@ def collapse_space(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """NFKC, minus sign to hyphen, white space collapsed, case folded."""
-    # Below U+0100 all but these are NFKC-stable and fold as they lower.
-    unstable = text.rlike(r"[^\x00-\xff]|[\xa0\xa8\xaa\xaf\xb2-\xb5\xb8-\xba\xbc-\xbe\xdf]")
-    plain = F.lower(collapse_space(text))
-    return F.coalesce(_nfkc_fold(F.when(unstable, text)), plain)
+    return F.coalesce(_nfkc_fold(F.when(has_non_ascii(text), text)), F.lower(collapse_space(text)))
 
 
 def normalize_search_text(text: Column) -> Column:

@@ -6,8 +6,9 @@ average length; pages without a query term score 0 and tie by page index.
 Scale. Statistics for scoring are only made for terms that some query of the report
 asks for (a semi-join before the aggregation); reports without a query are never
 tokenized. Joins run on (report, term), which spreads a large report over its
-vocabulary; the candidate join is salted by page. Tokens are cut once, since the
-statistics, the frequencies and the scores all read them.
+vocabulary; the candidate join is salted by page. Tokens are cut once (``asked_tokens``),
+since the statistics, the frequencies and the scores of all conditions read them. A rank is
+made in strips of scores, never in one window over all pages of a report.
 
 Edge cases. A page's null text has no tokens and its length is not counted, but the page
 is; questions without tokens score 0 on every page; a report without pages gives no
@@ -27,6 +28,9 @@ from pagewright.session import cut
 
 Analyzer = Callable[[Column], Column]
 SALTS = 16
+EXACT = "decimal(28,20)"
+STRIPS = 64  # strips to a unit of score
+STRIP_PAGES = 65_536  # pages without a score to a strip
 
 
 def guard(k1: float, b: float) -> None:
@@ -63,12 +67,18 @@ def query_terms(queries: DataFrame, analyzer: Analyzer = tokenize) -> DataFrame:
     return queries.select("task_id", "doc_id", F.explode(F.array_distinct(analyzer(F.col("question")))).alias("term"))
 
 
-def contributions(queries: DataFrame, pages: DataFrame, analyzer: Analyzer = tokenize, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(task_id, doc_id, page_index, term, tf, df, idf, contribution): the trace of every score."""
+def asked_tokens(queries: DataFrame, pages: DataFrame, analyzer: Analyzer = tokenize) -> DataFrame:
+    """``page_tokens`` of the reports that some query asks, cut: conditions that rank the same pages share it."""
+    return cut(page_tokens(pages.join(queries.select("doc_id").distinct(), "doc_id", "left_semi"), analyzer))
+
+
+def contributions(queries: DataFrame, tokens: DataFrame, analyzer: Analyzer = tokenize, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(task_id, doc_id, page_index, term, tf, df, idf, contribution): the trace of every score.
+
+    tokens: (doc_id, page_index, tokens) of every page of the reports in question.
+    """
     guard(k1, b)
     wanted = query_terms(queries, analyzer)
-    asked = pages.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
-    tokens = cut(page_tokens(asked, analyzer))  # read three times below
     stats = report_stats(tokens)
     hits = (
         tokens.select("doc_id", "page_index", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
@@ -85,32 +95,45 @@ def contributions(queries: DataFrame, pages: DataFrame, analyzer: Analyzer = tok
 
 def candidates(queries: DataFrame, pages: DataFrame, salts: int = SALTS) -> DataFrame:
     """(task_id, doc_id, page_index): each query with every page of its report."""
-    q = queries.select("task_id", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    q = queries.select("task_id", "doc_id").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     p = pages.select("doc_id", "page_index", F.pmod("page_index", F.lit(salts)).alias("salt"))
     return q.join(p, ["doc_id", "salt"]).select("task_id", "doc_id", "page_index")
 
 
-def scores(queries: DataFrame, pages: DataFrame, analyzer: Analyzer = tokenize, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(task_id, doc_id, page_index, score) of every candidate; terms are added in sorted order,
-    so that equal pages get equal bits."""
-    trace = contributions(queries, pages, analyzer, k1, b)
-    parts = F.array_sort(F.collect_list(F.struct("term", "contribution")))
-    total = trace.groupBy("task_id", "doc_id", "page_index").agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["contribution"]).alias("score"))
-    return candidates(queries, pages).join(total, ["task_id", "doc_id", "page_index"], "left").select("task_id", "doc_id", "page_index", F.coalesce("score", F.lit(0.0)).alias("score"))
+def scores(queries: DataFrame, tokens: DataFrame, analyzer: Analyzer = tokenize, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(task_id, doc_id, page_index, score) of every candidate. Contributions are added as decimals of 20 places,
+    whose sum has no order, so that equal pages get equal bits. Pages without a term come from the candidates,
+    in the same exchange."""
+    trace = contributions(queries, tokens, analyzer, k1, b).select("task_id", "doc_id", "page_index", F.col("contribution").cast(EXACT).alias("part"))
+    bare = candidates(queries, tokens).withColumn("part", F.lit(0).cast(EXACT))
+    return trace.unionByName(bare).groupBy("task_id", "doc_id", "page_index").agg(F.sum("part").cast("double").alias("score"))
 
 
 def ranked(scored: DataFrame, digits: int | None = None) -> DataFrame:
-    """``scored`` with ``rank`` by (-score, page_index); ``digits`` rounds scores first."""
+    """``scored`` with ``rank`` by (-score, page_index); ``digits`` rounds scores first.
+
+    A query's pages are split by score into strips, and pages without a score by page number; a page's rank is
+    its place in its strip, after the pages of all strips before. So a report with very many pages is ranked
+    by many tasks. Strips are counted on the map side; pages and counts meet by (query, strip), on which the
+    places are numbered too.
+    """
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
-    order = Window.partitionBy("task_id", "doc_id").orderBy(F.desc("score"), "page_index")
-    return scored.withColumn("rank", F.row_number().over(order))
+    strip = F.when(F.col("score") > 0, F.floor(F.col("score") * STRIPS) + 1).otherwise(-F.floor(F.greatest("page_index", F.lit(0)) / STRIP_PAGES))
+    scored = cut(scored.withColumn("_strip", strip))
+    key = ["task_id", "doc_id", "_strip"]
+    above = Window.partitionBy("task_id", "doc_id").orderBy(F.desc("_strip")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = scored.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "page_index"))
+    return scored.join(sizes, key).withColumn("rank", (F.col("_above") + place).cast("int")).drop("_strip", "_above")
 
 
 def fuse(body: DataFrame, heading: DataFrame, weight: float = 0.25) -> DataFrame:
-    """Body and heading scores of the same candidates as one score."""
+    """Body and heading scores of the same candidates as one score; a page that only one side has is an error."""
     h = heading.select("task_id", "doc_id", "page_index", F.col("score").alias("heading_score"))
-    return body.withColumnRenamed("score", "body_score").join(h, ["task_id", "doc_id", "page_index"]).withColumn("score", F.col("body_score") + weight * F.col("heading_score"))
+    both = body.withColumnRenamed("score", "body_score").join(h, ["task_id", "doc_id", "page_index"], "full")
+    score = F.coalesce(F.col("body_score") + weight * F.col("heading_score"), F.raise_error(F.concat(F.lit("body and heading do not cover the same pages: "), "doc_id", F.lit(" "), "page_index")).cast("double"))
+    return both.withColumn("score", score)
 
 
 def match_flags(scored: DataFrame) -> DataFrame:

@@ -39,13 +39,12 @@ def rank(condition: str, page_relation: DataFrame, queries: DataFrame, k1: float
     analyzer = tokenize if condition == "original" else tokenize_content
     if condition in CONDITIONS[2:]:
         queries = expansion.expand(queries).select("task_id", "doc_id", F.col("question_expanded").alias("question"))
-    scored = bm25.scores(queries, page_relation, analyzer, k1, b)
+    scored = bm25.scores(queries, bm25.asked_tokens(queries, page_relation, analyzer), analyzer, k1, b)
     if condition in CONDITIONS[3:]:
         obs = headings.observed(page_relation)
         notes = headings.accepted_notes(headings.note_headings(obs)) if condition == "note_formats" else None
-        tokens = headings.heading_tokens(page_relation, headings.entries(obs, notes))
-        field = tokens.select("doc_id", "page_index", F.array_join("tokens", " ").alias("raw_text"))
-        scored = bm25.fuse(scored, bm25.scores(queries, field, lambda c: drop_stopwords(tokenize(c)), k1, b), headings.HEADING_WEIGHT)
+        field = headings.heading_tokens(page_relation, headings.entries(obs, notes)).join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+        scored = bm25.fuse(scored, bm25.scores(queries, cut(field), analyzer, k1, b), headings.HEADING_WEIGHT)
     return bm25.ranked(scored.select("task_id", "doc_id", "page_index", "score"))
 
 

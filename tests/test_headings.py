@@ -24,16 +24,45 @@ def test_offsets_are_code_points(spark):
     assert (r.source_start, r.source_end, r.kind) == (4, 24, "item")
 
 
-def test_kinds():
-    kinds = [x["kind"] for x in h.observe("Item 1A. Risks\nConsolidated Balance Sheets\nNote 4 - Leases\nRisks Related to Our Debt\nWe depend on suppliers.\nIncome Taxes")["headings"]]
-    assert kinds == ["item", "statement", "note", "risk_group", "risk_sentence", "title"]
+def one(spark, text):
+    return obs(spark, [text]).first().o
 
 
-def test_contents_listing_and_resets():
+def kinds(spark, text):
+    return [x["kind"] for x in one(spark, text)["headings"]]
+
+
+def test_kinds(spark):
+    got = kinds(spark, "Item 1A. Risks\nConsolidated Balance Sheets\nNote 4 - Leases\nRisks Related to Our Debt\nWe depend on suppliers.\nIncome Taxes")
+    assert got == ["item", "statement", "note", "risk_group", "risk_sentence", "title"]
+
+
+def test_titles(spark):
+    assert kinds(spark, "Cost of Sales\nof Sales Cost\nResearch & Development\nYear-end Results\nYear-To-Date Results\nWord\nSales (net)") == ["title"] * 3
+
+
+def test_risk_sentence_goes_on_in_the_next_line(spark):
+    (h1,) = one(spark, "We depend on our\r\n  suppliers abroad.\nmore prose.")["headings"]
+    assert (h1["kind"], h1["heading_text"], h1["source_start"], h1["source_end"]) == ("risk_sentence", "We depend on our\r\n  suppliers abroad.", 0, 37)
+    assert kinds(spark, "We depend on our\n\nsuppliers abroad.") == [] and kinds(spark, "We depend on our\n7\nsuppliers abroad.") == []
+
+
+def test_contents_listing_and_resets(spark):
     listing = "\n".join(f"Chapter about things {i}" for i in range(6))
-    assert h.observe(listing)["headings"] == [] and h.observe(listing)["resets"][0]["reason"] == "contents_listing"
-    assert [r["reason"] for r in h.observe("SIGNATURES\nExhibit 10.1\nx")["resets"]] == ["signatures", "exhibit_start"]
-    assert h.observe("\n \n")["resets"][0]["reason"] == "blank_or_navigation_only"
+    assert one(spark, listing)["headings"] == [] and one(spark, listing)["resets"][0]["reason"] == "contents_listing"
+    assert [r["reason"] for r in one(spark, "SIGNATURES\nExhibit 10.1\nx")["resets"]] == ["signatures", "exhibit_start"]
+    assert [r["reason"] for r in one(spark, "United States\nthe\nSECURITIES AND EXCHANGE COMMISSION")["resets"]] == ["filing_cover"]
+    assert one(spark, "\n \n")["resets"][0]["reason"] == "blank_or_navigation_only" == one(spark, "Contents\n12")["resets"][0]["reason"]
+
+
+def test_candidates_of_contents_pages_and_long_items(spark):
+    listing = "\n".join(f"Chapter about things {i}" for i in range(6)) + "\n1. Leases"
+    (r,) = h.note_headings(obs(spark, [listing])).collect()
+    assert (r.number, r.accepted, r.rejection_reason) == (1, False, "contents_listing")
+    # An Item line beyond the limits is no heading and ends no notes region.
+    pages = ["Notes to Consolidated Financial Statements\n1. Policies\nItem 8. " + "word " * 70 + "\n2. Leases"]
+    assert [x.accepted for x in h.note_headings(obs(spark, pages)).orderBy("source_start").collect()] == [True, True]
+    assert h.note_headings(obs(spark, ["Note 7 – " + "Word " * 70])).count() == 0
 
 
 def test_budget_and_duplicates(spark):

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +16,12 @@ def query_df(spark, question, doc="d", task="q"):
     return spark.createDataFrame([(task, doc, question)], "task_id string, doc_id string, question string")
 
 
+def scores(q, p, **k):
+    return bm25.scores(q, bm25.asked_tokens(q, p), **k)
+
+
 def ranked(spark, rows, question, **k):
-    return [(r.page_index, r.score) for r in bm25.ranked(bm25.scores(query_df(spark, question), page_df(spark, rows), **k)).orderBy("rank").collect()]
+    return [(r.page_index, r.score) for r in bm25.ranked(scores(query_df(spark, question), page_df(spark, rows), **k)).orderBy("rank").collect()]
 
 
 def test_hand_computed_scores(spark):
@@ -41,14 +46,14 @@ def test_ties_by_page_and_unseen_terms(spark):
 def test_attribution_sums_to_score(spark):
     rows = [(0, "profit profit cash"), (1, "cash"), (2, "")]
     q, p = query_df(spark, "cash profit"), page_df(spark, rows)
-    total = {r.page_index: r.s for r in bm25.contributions(q, p).groupBy("page_index").agg(F.sum("contribution").alias("s")).collect()}
-    for r in bm25.scores(q, p).collect():
+    total = {r.page_index: r.s for r in bm25.contributions(q, bm25.asked_tokens(q, p)).groupBy("page_index").agg(F.sum("contribution").alias("s")).collect()}
+    for r in scores(q, p).collect():
         assert r.score == pytest.approx(total.get(r.page_index, 0.0), abs=1e-12)
 
 
 def test_labels_do_not_matter_and_scope_is_the_report(spark):
     p = page_df(spark, [(0, "cash")]).unionByName(page_df(spark, [(0, "cash cash")], "other"))
-    assert bm25.scores(query_df(spark, "cash"), p).count() == 1
+    assert scores(query_df(spark, "cash"), p).count() == 1
 
 
 def test_guards():
@@ -119,5 +124,24 @@ def test_hot_report_plan_reads_few_columns(spark, folder):
     from pagewright.sources.tables import table
 
     df = pages.page_relation(table(spark, folder, "native_pages", "doc_id", "page_index", "raw_text", "status", "extracted_at"))
-    plan = bm25.scores(query_df(spark, "cash"), df, tokenize_content)._jdf.queryExecution().executedPlan().toString()
+    plan = bm25.scores(query_df(spark, "cash"), bm25.page_tokens(df, tokenize_content), tokenize_content)._jdf.queryExecution().executedPlan().toString()
     assert "elapsed_seconds" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_rank_in_strips_is_the_plain_rank(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "STRIP_PAGES", 7)
+    rng = random.Random(3)
+    rows = [(t, "d", p, rng.choice([0.0, 0.0, 0.5, 0.5, rng.random() * 4])) for t in ("a", "b") for p in rng.sample(range(-5, 300), 200)]
+    df = spark.createDataFrame(rows, "task_id string, doc_id string, page_index int, score double")
+    got = {(r.task_id, r.page_index): r["rank"] for r in bm25.ranked(df).collect()}
+    for t in "ab":
+        order = sorted((r for r in rows if r[0] == t), key=lambda r: (-r[3], r[2]))
+        assert [got[t, r[2]] for r in order] == list(range(1, 201))
+
+
+def test_fields_must_cover_the_same_pages(spark):
+    schema = "task_id string, doc_id string, page_index int, score double"
+    body, head = spark.createDataFrame([("q", "d", 0, 1.0), ("q", "d", 1, 0.0)], schema), spark.createDataFrame([("q", "d", 0, 2.0)], schema)
+    assert bm25.fuse(head, head).first().score == 2.5
+    with pytest.raises(Exception, match="same pages"):
+        bm25.fuse(body, head).collect()
