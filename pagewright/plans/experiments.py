@@ -7,13 +7,13 @@ A run is a new folder: ``queries``, ``predictions``, ``metrics`` as Parquet, and
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import STOPWORDS, drop_stopwords, tokenize, tokenize_content
+from pagewright.functions.text import STOPWORDS, tokenize, tokenize_content
 from pagewright.operators import bm25, evaluation, expansion, headings, pages
+from pagewright.session import cut
 from pagewright.sources import readers, writers
 
 CONDITIONS = ("original", "stopwords", "question_expansion", "section_context", "note_formats")
@@ -84,10 +84,9 @@ def run(native_pages: DataFrame, retrieval_queries: DataFrame, labels: Callable[
     gold = evaluation.gold_ranks(unpack(spark.read.parquet(f"{out}/predictions")), pages.label_projection(labels()))
     metrics = evaluation.macro(evaluation.per_question(gold, ks))
     metrics.write.mode("errorifexists").parquet(f"{out}/metrics")
-    if "://" not in out:
-        sums = {r.path.partition(out)[2].lstrip("/"): {"sha256": r.sha256, "size": r.size} for part in ("queries", "predictions", "metrics") for r in readers.checksums(spark, f"{out}/{part}").collect()}
-        p = policy(condition, k1, b)
-        writers.write_json({"status": "complete", "policy": p, "policy_sha256": writers.fingerprint(p), "artifacts": sums}, str(Path(out) / "manifest.json"))
+    sums = {r.path.partition(out.partition("://")[2] or out)[2].lstrip("/"): {"sha256": r.sha256, "size": r.size} for part in ("queries", "predictions", "metrics") for r in readers.checksums(spark, f"{out}/{part}").collect()}
+    p = policy(condition, k1, b)
+    writers.write_json({"status": "complete", "policy": p, "policy_sha256": writers.fingerprint(p), "artifacts": sums}, f"{out}/manifest.json", spark)
     return spark.read.parquet(f"{out}/metrics")
 
 

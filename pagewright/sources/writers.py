@@ -8,7 +8,7 @@ import os
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,12 +22,26 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("errorifexists").json(path)
 
 
-def write_json(value, path: str) -> None:
-    """One manifest: sorted keys, written beside the target and renamed."""
-    target = Path(path)
-    part = target.with_name(f".{target.name}.part")
-    part.write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, allow_nan=False) + "\n", encoding="utf-8")
-    os.replace(part, target)
+def write_json(value, path: str, spark: SparkSession | None = None) -> None:
+    """One manifest: sorted keys, written beside the target and renamed; with ``spark``, on any storage that it can reach."""
+    text = json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, allow_nan=False) + "\n"
+    if spark is None:
+        target = Path(path)
+        part = target.with_name(f".{target.name}.part")
+        part.write_text(text, encoding="utf-8")
+        os.replace(part, target)
+        return
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.part")
+    storage = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = storage.create(part, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    if not storage.rename(part, target):
+        raise FileExistsError(path)
 
 
 def write_inventory(df: DataFrame, path: str) -> None:
