@@ -1,12 +1,12 @@
 """Problem 6: documents into containers of fixed capacity.
 
 Documents are dealt by hash to partitions of bounded size; each partition is packed
-by best-fit decreasing and gets a lower bound on its number of containers from
-dual-feasible functions. Where the bound equals the number used, the packing of that
-partition is certified optimal. Partitions with a gap give up the documents of their
-loosest containers; those of several partitions are pooled, packed again, and the new
-containers replace the old ones where they are fewer. Repeats until no partition has
-a gap or a round saves no container.
+by best-fit decreasing. Lower bounds from dual-feasible functions certify the count, of each
+partition and of all documents together: a packing that reaches the bound is optimal. While
+the total is above its bound, partitions exchange documents: every partition gives up its
+loosest containers (as many as its own gap, and one more), these meet those of others in pools, are
+packed again, and replace the old ones where they are fewer. Pools are mixed anew each round; a
+round that saves nothing makes them larger, until they hold ``per_part`` documents.
 
 Only a document larger than the capacity is split: into pieces of exactly the
 capacity and one rest, so that its token spans are [start, end).
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import token_count
 from pagewright.session import cut
 
-PER_PART = 20_000
-POOL = 16  # partitions whose loose documents are packed together
-LOOSE_FACTOR = 6  # room of the containers given up, in multiples of the gap
+PER_PART = 4_000
+POOL = 16  # containers that are packed together at first
+LOOSE_FACTOR = 6  # room of the containers given up, in multiples of the gap and one more
 
 PACKED = "capacity_tokens int, doc_id long, piece_no int, token_start long, token_end long, part long, bin long, bound long, used long"
 
@@ -130,23 +130,23 @@ def _pack_part(pdf: pd.DataFrame) -> pd.DataFrame:
     return _certified(pdf.assign(bin=best_fit_decreasing((pdf.token_end - pdf.token_start).to_numpy(), int(pdf.capacity_tokens.iloc[0]))))
 
 
-def _loose(packed: DataFrame, pools: int, turn: int) -> DataFrame:
-    """``packed`` with ``pool``: null for containers that stay, else where their documents meet others.
+def _loose(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``open``: whether the container takes part in the exchange.
 
-    Of each partition with a gap, the containers with the most room go, until their
-    room is LOOSE_FACTOR times the gap.
+    Of each partition the containers with the most room go, until their room is
+    LOOSE_FACTOR times what would close its gap and save one container more.
     """
     bins = packed.groupBy("capacity_tokens", "part", "bin").agg(
         (F.first("capacity_tokens") - F.sum(F.col("token_end") - F.col("token_start"))).alias("room"), F.first(F.col("used") - F.col("bound")).alias("gap")
     )
     before = F.expr("sum(room) over (partition by capacity_tokens, part order by room desc, bin rows between unbounded preceding and 1 preceding)")
     loose = (
-        bins.where("gap > 0 and room > 0")
+        bins.where("room > 0")
         .withColumn("before", F.coalesce(before, F.lit(0)))
-        .where(F.col("before") < F.col("gap") * F.col("capacity_tokens") * LOOSE_FACTOR)
-        .select("capacity_tokens", "part", "bin", F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(pools)).alias("pool"))
+        .where(F.col("before") < (F.col("gap") + 1) * F.col("capacity_tokens") * LOOSE_FACTOR)
+        .select("capacity_tokens", "part", "bin", F.lit(True).alias("open"))
     )
-    return packed.join(loose, ["capacity_tokens", "part", "bin"], "left")
+    return packed.join(loose, ["capacity_tokens", "part", "bin"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
 
 
 def _repack(turn: int):
@@ -160,11 +160,21 @@ def _repack(turn: int):
     return run
 
 
-def _totals(packed: DataFrame) -> tuple[int, int]:
-    """Containers used, and how many of them are above the partitions' bounds."""
-    each = packed.select("capacity_tokens", "part", "used", "bound").distinct()
-    used, gap = each.agg(F.sum("used"), F.sum(F.col("used") - F.col("bound"))).first()
-    return used or 0, gap or 0
+def _bounds(pieces_: DataFrame) -> DataFrame:
+    """(capacity_tokens, lower_bound): what any packing of all pieces needs, from the histogram of sizes."""
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = int(pdf.capacity_tokens.iloc[0])
+        return pd.DataFrame({"capacity_tokens": [c], "lower_bound": [histogram_bound(pdf.size_tokens.to_numpy(), pdf["n"].to_numpy(), c)]})
+
+    histogram = pieces_.groupBy("capacity_tokens", (F.col("token_end") - F.col("token_start")).alias("size_tokens")).agg(F.count("*").alias("n"))
+    return histogram.groupBy("capacity_tokens").applyInPandas(bound, "capacity_tokens int, lower_bound long")
+
+
+def _used(packed: DataFrame) -> dict:
+    """Containers of each capacity, and the pieces in them."""
+    bins = packed.groupBy("capacity_tokens", "part", "bin").agg(F.count("*").alias("n")).groupBy("capacity_tokens").agg(F.count("*").alias("bins"), F.sum("n").alias("n"))
+    return {r.capacity_tokens: (r.bins, r.n) for r in bins.collect()}
 
 
 def pack(documents: DataFrame, specs: DataFrame, per_part: int = PER_PART, rounds: int | None = None) -> DataFrame:
@@ -179,19 +189,27 @@ def pack(documents: DataFrame, specs: DataFrame, per_part: int = PER_PART, round
     part = F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(parts))
     dealt = todo.withColumn("part", part).withColumns({"bin": F.lit(0).cast("long"), "bound": F.lit(0).cast("long"), "used": F.lit(0).cast("long")})
     packed = cut(dealt.groupBy("capacity_tokens", "part").applyInPandas(_pack_part, PACKED))
-    before, gap = _totals(packed)
+    if parts == 1 or rounds == 0:
+        return packed
+    bound = {r.capacity_tokens: r.lower_bound for r in _bounds(todo).collect()}
+    mixed = cut(_loose(packed))
+    # Only the open containers move; those that stay are read again at the end.
+    closed, exchanged = mixed.where("not open").select(*COLUMNS), mixed.where("open").select(*COLUMNS)
+    fixed, now, pool = _used(closed), _used(exchanged), POOL
     for turn in itertools.count() if rounds is None else range(rounds):
-        if parts == 1 or not gap:
-            break
-        mixed = cut(_loose(packed, -(-parts // POOL), turn))
-        moved = mixed.where("pool is not null").groupBy("capacity_tokens", "pool").applyInPandas(_repack(turn), PACKED)
-        again = mixed.where("pool is null").select(*COLUMNS).unionByName(moved)
-        packed = cut(again.groupBy("capacity_tokens", "part").applyInPandas(_certified, PACKED))
-        used, gap = _totals(packed)
-        if used == before:
+        gaps = {c: fixed.get(c, (0, 0))[0] + bins - bound[c] for c, (bins, _) in now.items()}
+        if not any(g > 0 for g in gaps.values()):
             break
-        before = used
-    return packed
+        pools = max(1, -(-max(bins for bins, _ in now.values()) // pool))
+        dealt = exchanged.withColumn("pool", F.pmod(F.xxhash64("part", "bin", F.lit(turn)), F.lit(pools)))
+        exchanged = cut(dealt.groupBy("capacity_tokens", "pool").applyInPandas(_repack(turn), PACKED))
+        after = _used(exchanged)
+        if after == now:
+            if pools == 1 or max(n for _, n in now.values()) / pools > per_part:
+                break
+            pool *= 4
+        now = after
+    return cut(closed.unionByName(exchanged).groupBy("capacity_tokens", "part").applyInPandas(_certified, PACKED))
 
 
 def oversize(packed: DataFrame) -> DataFrame:
@@ -205,17 +223,7 @@ def containers(packed: DataFrame) -> DataFrame:
 
 
 def certificates(packed: DataFrame) -> DataFrame:
-    """Per capacity: containers used, what any packing of all documents needs, and how full they are.
-
-    The bound comes from the histogram of all sizes, at most capacity + 1 rows.
-    """
-
-    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(pdf.capacity_tokens.iloc[0])
-        return pd.DataFrame({"capacity_tokens": [c], "lower_bound": [histogram_bound(pdf.size_tokens.to_numpy(), pdf["n"].to_numpy(), c)]})
-
-    histogram = packed.groupBy("capacity_tokens", (F.col("token_end") - F.col("token_start")).alias("size_tokens")).agg(F.count("*").alias("n"))
+    """Per capacity: containers used, what any packing of all documents needs, and how full they are."""
     used = containers(packed).groupBy("capacity_tokens").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
-    low = histogram.groupBy("capacity_tokens").applyInPandas(bound, "capacity_tokens int, lower_bound long")
     fill = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
-    return used.join(low, "capacity_tokens").withColumn("fill", fill)
+    return used.join(_bounds(packed), "capacity_tokens").withColumn("fill", fill)

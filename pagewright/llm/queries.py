@@ -12,6 +12,7 @@ from pagewright.llm import p5_quality as p5
 from pagewright.llm import p6_pack as p6
 from pagewright.llm import p7_mix as p7
 from pagewright.llm import p8_residue as p8
+from pagewright.llm.pages import with_text
 from pagewright.llm.sql import ORACLE  # noqa: F401
 from pagewright.sources.tables import table
 
@@ -20,9 +21,17 @@ def p1_found(spark, d):
     return p1.find(table(spark, d, "native_pages", "doc_id", "page_index", "raw_text")).select("doc_id", "page_index", "line_no")
 
 
+def p1_blocks(spark, d):
+    """The lines that are taken out, with the size of their block."""
+    found = p1.find(table(spark, d, "native_pages", "doc_id", "page_index", "raw_text"))
+    return p1.removable(found).select("doc_id", "page_index", "line_no", (F.col("block_id").isNotNull()).alias("in_block"), "block_lines")
+
+
 def p1_clean(spark, d):
-    pages = table(spark, d, "native_pages", "doc_id", "page_index", "raw_text").distinct()
-    return p1.remove_lines(pages, p1.find(pages)).select("doc_id", "page_index", "clean_text")
+    """One row for each page with text; all rows of a page carry the same text."""
+    pages = table(spark, d, "native_pages", "doc_id", "page_index", "raw_text")
+    texts = with_text(pages).groupBy("doc_id", "page_index").agg(F.max("raw_text").alias("raw_text"))
+    return p1.remove_lines(texts, p1.removable(p1.find(pages))).select("doc_id", "page_index", "clean_text")
 
 
 def p2_found(spark, d):
@@ -124,5 +133,5 @@ def p8_kept(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_pages, p2_questions, p3_found, p3_pieces, p4_found, p4_pages, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
+    for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_pages, p2_questions, p3_found, p3_pieces, p4_found, p4_pages, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pagewright.llm.p1_boilerplate import MIN_PAGES, MIN_SHARE_PERCENT
 from pagewright.llm import p2_lookalikes as p2
 from pagewright.llm.p8_residue import PHRASES, SLOT
 from pagewright.plans import sqltext as S
@@ -13,7 +12,19 @@ line AS (SELECT doc_id, page_index, CAST(i AS INTEGER) AS line_no, parts[i + 1]
 keyed AS (SELECT doc_id, page_index, line_no, {_KEY} AS k FROM line),
 support AS (SELECT doc_id, k, count(DISTINCT page_index) AS n FROM keyed WHERE k <> '' GROUP BY ALL),
 total AS (SELECT doc_id, count(*) AS pages FROM page GROUP BY ALL),
-kept AS (SELECT doc_id, k FROM support JOIN total USING (doc_id) WHERE n >= {MIN_PAGES} AND n * 100 >= {MIN_SHARE_PERCENT} * pages)
+kept AS (SELECT doc_id, k FROM support JOIN total USING (doc_id) WHERE n >= 4 AND n * 100 >= 15 * pages)
+"""
+
+# The graph of consecutive lines: a key may be followed by another, by the page's end, or stand at its start ('').
+_GRAPH = """, filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY line_no) AS i, count(*) OVER (PARTITION BY doc_id, page_index) AS n FROM keyed WHERE k <> ''),
+step AS (SELECT f.doc_id, f.page_index, f.k AS a, g.k AS b FROM filled f JOIN filled g ON g.doc_id = f.doc_id AND g.page_index = f.page_index AND g.i = f.i + 1
+  UNION ALL SELECT doc_id, page_index, '', k FROM filled WHERE i = 1 UNION ALL SELECT doc_id, page_index, k, '' FROM filled WHERE i = n),
+edge AS (SELECT s.doc_id, a, b FROM step s JOIN total t USING (doc_id) WHERE a <> b AND (a = '' OR (s.doc_id, a) IN (SELECT (doc_id, k) FROM kept)) AND (b = '' OR (s.doc_id, b) IN (SELECT (doc_id, k) FROM kept))
+  GROUP BY s.doc_id, a, b HAVING count(DISTINCT page_index) >= 4 AND count(DISTINCT page_index) * 100 >= 15 * any_value(pages)),
+reach AS (SELECT doc_id, k, k AS r FROM kept UNION SELECT h.doc_id, h.k, CASE WHEN e.a = h.r THEN e.b ELSE e.a END FROM reach h JOIN edge e ON e.doc_id = h.doc_id AND (e.a = h.r OR e.b = h.r) WHERE e.a <> '' AND e.b <> ''),
+node AS (SELECT doc_id, k, count(DISTINCT r) AS block_lines, count(DISTINCT r) > 1 OR (doc_id, k) IN (SELECT (doc_id, a) FROM edge WHERE b = '' UNION SELECT (doc_id, b) FROM edge WHERE a = '') AS in_block FROM reach GROUP BY doc_id, k),
+share AS (SELECT doc_id, k, n * 100.0 / pages AS share FROM support JOIN total USING (doc_id)),
+removed AS (SELECT x.doc_id, x.page_index, x.line_no, in_block, block_lines FROM keyed x JOIN node USING (doc_id, k) JOIN share USING (doc_id, k) WHERE in_block OR share >= 50)
 """
 
 _WINDOW = """WITH newest AS (SELECT doc_id, page_count FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY registered_at DESC NULLS LAST, page_count DESC NULLS LAST) AS n FROM doc_records) WHERE n = 1 AND page_count > 0),
@@ -37,12 +48,13 @@ def _mapped(c: str) -> str:
 
 
 _TRIMMED = "trim(regexp_replace(question, '[ \\t\\r\\n]+', ' ', 'g'))"
-_CLEAN = "CASE WHEN g.gone IS NULL OR NOT {0} THEN r.raw_text ELSE array_to_string(list_transform(list_filter(range(len(string_split(r.raw_text, chr(10)))), lambda i: NOT list_contains(g.gone, i)), lambda i: string_split(r.raw_text, chr(10))[i + 1]), chr(10)) END".format(S.not_blank("r.raw_text"))
+_CLEAN = "CASE WHEN g.gone IS NULL THEN r.raw_text ELSE array_to_string(list_transform(list_filter(range(len(string_split(r.raw_text, chr(10)))), lambda i: NOT list_contains(g.gone, i)), lambda i: string_split(r.raw_text, chr(10))[i + 1]), chr(10)) END"
+
+_RECURSIVE = _LINES.rstrip().replace("WITH page", "WITH RECURSIVE page", 1) + _GRAPH
 
 ORACLE: dict[str, str] = {
-    "p1_clean": _LINES.rstrip()
-    + ", gone AS (SELECT doc_id, page_index, list(line_no) AS gone FROM keyed SEMI JOIN kept USING (doc_id, k) GROUP BY ALL) "
-    + f"SELECT r.doc_id, r.page_index, {_CLEAN} AS clean_text FROM (SELECT DISTINCT doc_id, page_index, raw_text FROM native_pages) r LEFT JOIN gone g USING (doc_id, page_index)",
+    "p1_blocks": _RECURSIVE + "SELECT doc_id, page_index, line_no, in_block, CAST(block_lines AS INTEGER) AS block_lines FROM removed",
+    "p1_clean": _RECURSIVE + f", gone AS (SELECT doc_id, page_index, list(line_no) AS gone FROM removed GROUP BY ALL) SELECT r.doc_id, r.page_index, {_CLEAN} AS clean_text FROM page r LEFT JOIN gone g USING (doc_id, page_index)",
     "p2_questions": f"SELECT DISTINCT task_id, doc_id, question, {_mapped(_TRIMMED)} AS canonical FROM retrieval_queries WHERE {S.not_blank('question')}",
     "p1_found": _LINES + "SELECT doc_id, page_index, line_no FROM keyed SEMI JOIN kept USING (doc_id, k)",
     "p3_found": _WINDOW + "SELECT DISTINCT window_id FROM pages JOIN model_limits USING (model_id) WHERE n > max_pages",

@@ -47,7 +47,7 @@ def test_blocks_and_removal(spark):
     hits = p1.find(df)
     blocks = {(r.page_index, r.line_no): r.block_id for r in hits.collect()}
     assert blocks[0, 0] == blocks[0, 1] == blocks[5, 0] and blocks[0, 3] != blocks[0, 0]
-    clean = {r.page_index: r.clean_text for r in p1.remove_lines(df, hits).collect()}
+    clean = {r.page_index: r.clean_text for r in p1.remove_lines(df, p1.removable(hits)).collect()}
     assert clean[2] == "body xxx" and clean[6] is None and len(clean) == 7
 
 
@@ -61,5 +61,25 @@ def test_hot_report_is_spread(spark):
     rows = [("hot", p, f"Notice\nbody {p} {'y' * (p % 50)}z") for p in range(400)]
     keys = p1.page_keys(spark.createDataFrame(rows, SCHEMA))
     assert found(spark, rows) == brute(rows)
-    plan = p1.occurrences(keys, p1.blocks(keys, p1.supported_nodes(keys)))._jdf.queryExecution().executedPlan().toString()
+    plan = p1.find(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "salt" in plan
+
+
+def test_edges_decide_what_is_removed(spark):
+    """A caption on a fifth of the pages, among changing lines: repeated, but no boilerplate."""
+    rows = [("d", p, f"Head\nown {'a' * p}x\n{'(in millions)' if p % 5 == 0 else 'z' * (p + 1)}\nalso {'b' * p}y\nFoot") for p in range(40)]
+    hits = p1.find(spark.createDataFrame(rows, SCHEMA))
+    captions = [r for r in hits.collect() if r.line_no == 2]
+    assert len(captions) == 8 and all(r.block_id is None for r in captions)
+    kept = {r.page_index: r.clean_text.split("\n") for r in p1.remove_lines(spark.createDataFrame(rows, SCHEMA), p1.removable(hits)).collect()}
+    assert all(t[1] == "(in millions)" for p, t in kept.items() if p % 5 == 0) and all(len(t) == 3 for t in kept.values())
+    # Without its edges the same caption would go too.
+    assert p1.removable(hits.withColumn("block_id", p1.F.lit(1))).count() == hits.count() > p1.removable(hits).count()
+
+
+def test_reports_are_flushed_one_by_one():
+    import pandas as pd
+
+    frames = [pd.DataFrame({"doc_id": ["a", "a"], "a": [1, 2], "b": [1, 2]}), pd.DataFrame({"doc_id": ["a", "b", "b"], "a": [1, 1, 1], "b": [2, 1, p1.PAGE_END]})]
+    out = pd.concat(p1._components(iter(frames)))
+    assert out[["doc_id", "line_key", "block_id", "block_lines"]].values.tolist() == [["a", 1, 1, 2], ["a", 2, 1, 2], ["b", 1, 1, 1]]

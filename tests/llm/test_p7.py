@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 
 from pagewright.llm import p7_mix as p7
@@ -13,9 +12,33 @@ def mixed(spark, docs, targets, **k):
 
 
 def test_tree_is_exact():
-    counts = np.array([7, 0, 12, 100])
-    leaves = p7.splitting_tree(counts, 5, np.random.default_rng(3))
-    assert leaves.shape == (5, 4) and (leaves.sum(axis=0) == counts).all() and leaves.sum(axis=1).max() - leaves.sum(axis=1).min() <= 2
+    counts = [7, 0, 12, 100]
+    walks = [p7.leaf(i, counts, 5, 3) for i in range(5)]
+    rows = [sum(n for _, n in w) for w in walks]
+    assert max(rows) - min(rows) <= 2
+    for k, c in enumerate(counts):  # each source's positions are cut without gap or overlap
+        assert sorted(x for w in walks for x in range(w[k][0], sum(w[k]))) == list(range(c))
+
+
+def test_driver_sees_sources_only(spark, monkeypatch):
+    """10,000 blocks of two sources: what is collected has a row for each source."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    docs = spark.range(10_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', 'b') as source", "1 as n_tokens", "'' as text")
+    rows, shares = p7.mix(docs, spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 2)], TARGETS), rows_per_block=1, shards=7)
+    assert max(map(len, seen)) == 2
+    assert rows.select("doc_id", "copy").distinct().count() == rows.count() and rows.select("shard").distinct().count() == 7
+    assert {r.source: abs(r.share_of_total - r.target_share) < 0.001 for r in shares.collect()} == {"a": True, "b": True}
+
+
+def test_largest_total_meets_all_targets(spark):
+    docs = [(i, "a", 10, "") for i in range(50)] + [(100 + i, "b", 10, "") for i in range(500)]
+    _, shares = mixed(spark, docs, [("a", 0.2, 1), ("b", 0.8, 1)])
+    assert not shares["a"].reachable and shares["a"].largest_total == 2500
+    _, shares = mixed(spark, docs, [("a", 0.2, 1), ("b", 0.8, 1)], total=2500)
+    assert all(s.reachable and abs(s.actual_share - s.target_share) < 0.01 for s in shares.values())
 
 
 def test_shares_repeats_and_shards(spark):
