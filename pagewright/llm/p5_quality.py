@@ -1,18 +1,19 @@
 """Problem 5: figures on the quality of each page's text, and what kind of page it is.
 
 One Arrow function reads every page once and returns its figures together with one
-class letter per line; from there on only numbers and letters move. What a page is
-made of is judged on its own lines: furniture (the blocks of p1) and section
-headings are left out by joining line keys. Combined rules then tell prose from
-lists, tables and junk.
+letter per line; from there on only numbers and letters move. Combined rules on the
+figures tell what is readable: symbols, word length, words without vowels, the share of
+function words and how they stand together, and repetition (lines, paragraphs, and the letters
+that one repeated n-gram covers). What a readable page is made of is judged on its own
+lines: furniture (lines that p1 finds repeated) and section headings are left out by
+joining line keys; shares of entries, figures and sentences then tell lists, tables and prose.
 
-Line classes: '-' blank, 'j' unreadable, 'b' bullet or numbered entry, 'd' dot leaders,
-'n' caption with several figures, 'm' text that ends with one figure, 's' function words
-or one word in a row without sense, 'e' text with a sentence end, 't' other text; capitals for text that stood on the
-page before.
+Letters of lines: '-' blank, 'b' bullet or numbered entry, 'd' dot leaders, 'n' caption with
+several figures, 'm' text that ends with one figure, 'e' text with a sentence end, 't' other
+text; capitals for text that stood on the page before.
 
-Scale. One pass over the text on the map side; the exchange by page carries about 100
-bytes a page. Joins are salted as in p1.
+Scale. One pass over the text on the map side, spread over all cores before it starts where the
+scan has few tasks; the exchange by page carries about 100 bytes a page. Joins are salted as in p1.
 
 Edge cases. Rows without text are no page and have no kind (``page_stats`` gives them
 zeros). Several rows of one page count once. A page with nothing but furniture has no
@@ -22,6 +23,7 @@ kind.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import p1_boilerplate as p1
-from pagewright.llm.pages import line_keys, with_text
+from pagewright.llm.pages import line_keys, spread, with_text
 from pagewright.session import cut
 
 FIGURES = (
     "word_count int, mean_word_length double, symbol_ratio double, line_count int, end_punctuation_share double, "
     "common_word_share double, duplicate_line_share double, duplicate_paragraph_share double, "
-    "top_2gram_share double, top_3gram_share double, top_4gram_share double, characters int, classes string"
+    "top_2gram_share double, top_3gram_share double, top_4gram_share double, no_vowel_share double, senseless_share double, long_token_share double, characters int, classes string"
 )
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -52,52 +54,38 @@ _FIGURE_ENDS = frozenset("0123456789%)—lIOoSBb")
 _MIX = np.int64(6364136223846793005)  # spreads the codes of word sequences over 64 bits
 _PARAGRAPHS = re.compile(r"\n\s*\n")
 
-JUNK_SHARE = 0.5
+_CIDS = re.compile(r"\(cid:\d+\)")
+_RUNS = re.compile(b"\x01{3,}")  # three function words or more in a row
+
 MAJORITY = 0.5
 SENTENCES = 0.15  # share of text lines with a sentence end, below which text is not prose
-SENSELESS = 0.25
-REPEATED_LINES = 0.5
-REPEATED_NGRAM = 0.6
-
-
-def line_class(s: str, low: list[str], letters: int, common: frozenset) -> str:
-    """The class of a stripped line with its lower-case words and their letters."""
+# Bounds of the combined rules; a page of fewer than FEW own lines cannot repeat itself.
+FEW = 4
+SYMBOLS = 0.3
+SHORT_WORDS, LONG_WORDS = 2.5, 8.0
+NO_VOWELS = 0.3
+FUNCTION_WORDS = 0.11
+SENSELESS, SENSELESS_PROSE = 0.12, 0.4  # without sentences, and with them
+LONG_TOKEN, LONG_TOKENS = 30, 0.3
+REPEATED_LINES, REPEATED_PARAGRAPHS = 0.35, 0.5
+REPEATED_NGRAMS = {"top_2gram_share": 0.35, "top_3gram_share": 0.35, "top_4gram_share": 0.4}
+
+
+def line_class(s: str) -> str:
+    """The letter of a stripped line."""
     if not s:
         return "-"
     if (".." in s or ". ." in s) and _LEADERS.search(s):
         return "d"
-    length, spaces, words = len(s), s.count(" "), len(low)
-    if "(cid:" in s or (length >= 6 and letters < 0.35 * (length - spaces) and 4 * sum(map(str.isdigit, s)) < length):
-        return "j"
-    if length >= 40 and 30 * spaces < length and max(map(len, s.split())) >= 40:
-        return "j"
-    if words >= 6 and (3 * len(set(low)) <= words or (letters < 2 * words and sum(len(w) == 1 for w in low) > 0.6 * words)):
-        return "j"
-    if words >= 4 and common.isdisjoint(low):
-        long = [w for w in low if len(w) >= 3]
-        if len(long) >= 4 and sum(not _VOWELS.isdisjoint(w) for w in long) < 0.4 * len(long):
-            return "j"
-    first, last = s[0], s[-1]
-    if (not first.isalpha() or not s[1:2].isalpha()) and _ENTRY.match(s):
+    if (not s[0].isalpha() or not s[1:2].isalpha()) and _ENTRY.match(s):
         return "b"
-    figure = last in _FIGURE_ENDS
+    figure = s[-1] in _FIGURE_ENDS
     if figure and _ENDS_FIGURES.search(s):
         return "n"
     if ("." in s or "!" in s or "?" in s) and _SENTENCE_END.search(s):
         return "e"
     if figure and _ENDS_FIGURE.search(s):
         return "n" if "|" in s or "\t" in s else "m"
-    run, before = 0, None
-    for w in low:
-        if w == before:
-            return "s"
-        before = w
-        if w in common:
-            run += 1
-            if run == 3:
-                return "s"
-        else:
-            run = 0
     return "t"
 
 
@@ -120,25 +108,25 @@ def _top_shares(words: list[str], total: int) -> tuple[float, float, float]:
 
 
 def page_figures(text: str, common: frozenset) -> tuple:
-    words, classes, seen, filled, ends, letters, known = [], [], set(), 0, 0, 0, 0
+    classes, seen, filled, ends = [], set(), 0, 0
     for line in text.split("\n"):
         s = line.strip()
-        low = WORD.findall(s.lower())
-        n = sum(map(len, low))
-        kind = line_class(s, low, n, common)
+        kind = line_class(s)
         if s:
             filled += 1
             ends += not s[-1].isalpha() and _END_PUNCTUATION.search(s) is not None
             # Text that stands on the page before, letter for letter, is told by a capital.
-            if s in seen and kind in "ets":
+            if s in seen and kind in "et":
                 kind = kind.upper()
             seen.add(s)
         classes.append(kind)
-        words += low
-        letters += n
-    n = len(words)
-    solid = len("".join(text.split()))
-    known = sum(map(common.__contains__, words))
+    # A glyph that has no character is a symbol, whatever its code looks like.
+    words = WORD.findall((_CIDS.sub("#" * 8, text) if "(cid:" in text else text).lower())
+    tokens = text.split()
+    n, letters, solid = len(words), sum(map(len, words)), sum(map(len, tokens))
+    known = bytes(map(common.__contains__, words))
+    long = [w for w in set(words) if len(w) >= 3]
+    odd = sum(map(len, _RUNS.findall(known))) + sum(map(str.__eq__, words, words[1:]))
     paragraphs = [p for p in map(str.strip, _PARAGRAPHS.split(text)) if p]
     return (
         n,
@@ -146,10 +134,13 @@ def page_figures(text: str, common: frozenset) -> tuple:
         round(1 - (letters + len(text) - len(text.translate(_NO_DIGITS))) / solid, 4) if solid else 0.0,
         filled,
         round(ends / filled, 4) if filled else 0.0,
-        round(known / n, 4) if n else 0.0,
+        round(sum(known) / n, 4) if n else 0.0,
         round(1 - len(seen) / filled, 4) if filled else 0.0,
         round(1 - len(set(paragraphs)) / len(paragraphs), 4) if paragraphs else 0.0,
         *_top_shares(words, letters),
+        round(sum(map(_VOWELS.isdisjoint, long)) / len(long), 4) if long else 0.0,
+        round(min(1.0, odd / n), 4) if n else 0.0,
+        round(sum(x for x in map(len, tokens) if x >= LONG_TOKEN) / solid, 4) if solid else 0.0,
         len(text),
         "".join(classes),
     )
@@ -172,7 +163,7 @@ def page_features(pages: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id, page_index, line_keys, figures): one row for each page with text."""
     figures = figures_udf(common_words)
     return (
-        with_text(pages.select("doc_id", "page_index", "raw_text"))
+        spread(with_text(pages.select("doc_id", "page_index", "raw_text")))
         .select("doc_id", "page_index", F.struct(line_keys(F.col("raw_text")).alias("line_keys"), figures("raw_text").alias("figures")).alias("f"))
         .groupBy("doc_id", "page_index")
         .agg(F.max("f").alias("f"))
@@ -180,35 +171,55 @@ def page_features(pages: DataFrame, common_words: DataFrame) -> DataFrame:
     )
 
 
-def kind_of(classes: Column, top_4gram_share: Column) -> Column:
-    """'prose', 'list', 'table', 'junk', or null without own lines; from the classes of the page's own lines."""
+# The rules for pages that say nothing readable, in order: name and condition on the figures (f) and the shares of own lines (c).
+def _junk_rules(f, c) -> dict[str, Column]:
+    entries = (c["n"] + c["m"] > MAJORITY * c["all"]) | (c["bd"] > MAJORITY * c["all"])
+    enough = c["all"] >= FEW
+    repeated = [enough & (f[k] > bound) for k, bound in REPEATED_NGRAMS.items()]
+    return {
+        "symbols": (f["symbol_ratio"] > SYMBOLS) & ~entries,
+        "word length": ((f["mean_word_length"] < SHORT_WORDS) | (f["mean_word_length"] > LONG_WORDS)) & ~entries,
+        "vowels": (f["no_vowel_share"] > NO_VOWELS) & ~entries,
+        "function words": (f["common_word_share"] < FUNCTION_WORDS) & (c["e"] > 0) & ~entries,
+        "function words together": ((f["senseless_share"] > SENSELESS) & ~c["sentences"]) | (f["senseless_share"] > SENSELESS_PROSE),
+        "long tokens": (f["long_token_share"] > LONG_TOKENS) & ~entries,
+        "lines": enough & ((f["duplicate_line_share"] > REPEATED_LINES) | (c["again"] > MAJORITY * c["text"])) & ~entries,
+        "paragraphs": enough & (f["duplicate_paragraph_share"] > REPEATED_PARAGRAPHS) & (f["duplicate_line_share"] > REPEATED_PARAGRAPHS / 2),
+        **dict(zip(REPEATED_NGRAMS, repeated)),
+    }
+
+
+JUNK_RULES = ("symbols", "word length", "vowels", "function words", "function words together", "long tokens", "lines", "paragraphs", *REPEATED_NGRAMS)
+
+
+def kind_of(classes: Column, figures: Column, without: frozenset = frozenset()) -> Column:
+    """'prose', 'list', 'table', 'junk', or null without own lines. ``without``: names of rules to leave out."""
 
     def n(letters: str) -> Column:
         return F.length(classes) - F.length(F.translate(classes, letters, ""))
 
     def rules(c) -> Column:
         total, text = c["all"], c["text"]
-        sentences = c["e"] >= SENTENCES * F.greatest(c["ets"], F.lit(1))
+        unreadable = reduce(lambda a, b: a | b, (r for name, r in _junk_rules(figures, c).items() if name not in without), F.lit(False))
         return (
             F.when(total == 0, F.lit(None).cast("string"))
-            .when(c["j"] > JUNK_SHARE * total, "junk")
-            .when((text > 3) & (c["again"] > REPEATED_LINES * text), "junk")
+            .when(unreadable, "junk")
             .when(c["n"] > MAJORITY * total, "table")
             .when(c["bd"] > MAJORITY * total, "list")
             .when((c["n"] + c["m"] > MAJORITY * total) & ((c["e"] == 0) | (c["e"] < SENTENCES * total)), "table")
-            .when((total > 3) & (top_4gram_share > REPEATED_NGRAM), "junk")
-            .when(sentences, F.when(text >= F.greatest(c["n"], c["bd"], c["j"]), "prose").when(c["j"] >= F.greatest(c["n"], c["bd"]), "junk").when(c["n"] >= c["bd"], "table").otherwise("list"))
-            .when(c["s"] > SENSELESS * text, "junk")
+            .when(c["sentences"], F.when(text >= F.greatest(c["n"], c["bd"]), "prose").when(c["n"] >= c["bd"], "table").otherwise("list"))
             .otherwise("list")
         )
 
-    counts = {"all": "jbdnmetsETS", "text": "emtsETS", "ets": "etsETS", "again": "ETS", "e": "eE", "s": "sS", "j": "j", "n": "n", "m": "m", "bd": "bd"}
+    counts = {"all": "bdnmetET", "text": "emtET", "et": "etET", "again": "ET", "e": "eE", "n": "n", "m": "m", "bd": "bd"}
     # Bound once: the optimizer would otherwise repeat the counts in every rule.
-    return F.transform(F.array(F.struct(*(n(v).alias(k) for k, v in counts.items()))), rules)[0]
+    counted = F.transform(F.array(F.struct(*(n(v).alias(k) for k, v in counts.items()))), lambda c: F.struct(*(c[k].alias(k) for k in counts), ((c["e"] > 0) & (c["e"] >= SENTENCES * c["et"])).alias("sentences")))
+    return F.transform(counted, rules)[0]
 
 
-def kind_of_row() -> Column:
-    return kind_of(F.col("own"), F.col("figures.top_4gram_share"))
+def judged(features: DataFrame, headings: DataFrame, keys: DataFrame | None = None, without: frozenset = frozenset()) -> DataFrame:
+    """(doc_id, page_index, kind, figures) of every page in ``features``."""
+    return own_classes(features, headings, keys=keys).select("doc_id", "page_index", kind_of(F.col("own"), F.col("figures"), without).alias("kind"), "figures")
 
 
 def own_classes(features: DataFrame, headings: DataFrame, salts: int = p1.SALTS, keys: DataFrame | None = None) -> DataFrame:
@@ -217,8 +228,7 @@ def own_classes(features: DataFrame, headings: DataFrame, salts: int = p1.SALTS,
     keys: the line keys of all pages of the reports, if ``features`` has only some of the pages.
     """
     keys = features.select("doc_id", "page_index", "line_keys") if keys is None else keys
-    nodes = cut(p1.supported_nodes(keys))
-    members = p1.blocks(keys, nodes, salts).groupBy("doc_id").agg(F.collect_list("line_key").alias("kept"))
+    members = cut(p1.supported_nodes(keys).groupBy("doc_id").agg(F.collect_list("line_key").alias("kept")))
     spread = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     df = features.withColumn("salt", F.pmod(F.col("page_index"), F.lit(salts))).join(spread, ["doc_id", "salt"], "left").drop("salt")
     titles = (
@@ -237,9 +247,7 @@ def own_classes(features: DataFrame, headings: DataFrame, salts: int = p1.SALTS,
 
 def kinds(pages: DataFrame, headings: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id, page_index, kind, figures) of every page with text."""
-    features = cut(page_features(pages, common_words))
-    judged = own_classes(features, headings)
-    return judged.select("doc_id", "page_index", kind_of_row().alias("kind"), "figures")
+    return judged(cut(page_features(pages, common_words)), headings)
 
 
 def page_stats(pages: DataFrame, headings: DataFrame, common_words: DataFrame) -> DataFrame:

@@ -2,20 +2,23 @@
 
 Two detectors over the whole text:
 
-* slots: one grammar per delimiter of an unfilled placeholder. Code is discounted:
-  fenced blocks and inline code are cut out of the text, and so are lines that talk
-  about template syntax. A text that calls itself a tutorial and is dense with slots is
-  a tutorial.
+* slots: one grammar per delimiter of an unfilled placeholder;
 * phrases: dummy text, undelivered pages, and notices about scripts, cookies or
   checks. The expressions ask for the wording of a message, not of a report that
   speaks of such things.
 
+What they find counts only in the text's own voice. Before it is looked at again, a text with
+a finding loses its code (closed fences and inline code), quotations that the sentence
+reports (an error reads "...", the page shows "..."), and sentences that speak of template
+syntax. A text that speaks of it and has a slot to every DENSE characters is a tutorial, and
+its slots are no residue; in a long report with few slots they are.
+
 All grammars are joined into one expression per kind and matched by Arrow's automaton
 on the column buffer (measured here: 4 ns a character for all of them, where the
-JVM's backtracking engine took over 1,000). Only texts with a slot are looked at again.
+JVM's backtracking engine took over 1,000). Only texts with a finding are looked at again.
 
 No shuffle. Null or empty text: no residue. A phrase or slot counts once however
-often it stands there.
+often it stands there. Slots may be of any length within a line.
 """
 
 from __future__ import annotations
@@ -30,20 +33,25 @@ from pyspark.sql.types import IntegerType
 
 # Grammars of unfilled slots, by delimiter. No look-around, so that RE2 takes them too.
 SLOT_GRAMMARS = {
-    "double brace": r"\{\{[^{}\n]{1,60}\}\}",
-    "brace": r"\{(?:[A-Za-z][A-Za-z]*(?:[_.][A-Za-z]+)+|[0-9]{1,2})\}",
-    "dollar or hash brace": r"[$#]\{[A-Za-z_][A-Za-z0-9_. ]{0,40}\}",
-    "double bracket": r"\[\[ ?[A-Za-z_][A-Za-z0-9_. -]{0,40}\]\]",
-    "double angle": r"<<? ?[A-Za-z_]+(?:_[A-Za-z]+)+ ?>>?|<<[A-Za-z][A-Za-z0-9_ ]{0,40}>>",
-    "percent": r"%%[A-Za-z_][A-Za-z0-9_]{0,40}%%|%\([a-z_][a-z0-9_]*\)[sdf]",
-    "at": r"@@[A-Za-z_][A-Za-z0-9_]{0,40}@@",
-    "underscores": r"__[A-Z][A-Z0-9_]{0,40}[A-Z0-9]__",
+    "double brace": r"\{\{[^{}\n]+\}\}",
+    "tag": r"<%[-=#@]?[^<>%\n]+%>|\{%-?[^{}%\n]+%\}",
+    "brace": r"\{(?:[A-Za-z][A-Za-z]*(?:[_.][A-Za-z]+)+|[0-9]{1,2}|(?i:_FIELD_))\}",
+    "dollar or hash brace": r"[$#]\{[A-Za-z_][A-Za-z0-9_. ]*\}",
+    "double bracket": r"\[\[ ?[A-Za-z_][A-Za-z0-9_. -]*\]\]",
+    "double angle": r"<<? ?[A-Za-z_]+(?:_[A-Za-z]+)+ ?>>?|<<[A-Za-z][A-Za-z0-9_ ]*>>",
+    "percent": r"%%[A-Za-z_][A-Za-z0-9_]*%%|%\([a-z_][a-z0-9_]*\)[sdf]",
+    "at": r"@@[A-Za-z_][A-Za-z0-9_]*@@",
+    "underscores": r"__[A-Z][A-Z0-9_]*[A-Z0-9]__",
     "open bullet": r"\[ ?[●•◆■_.…]{1,8} ?\]",
-    "bracketed order": r"\[(?i:[^\[\]\n]{0,40}\b(?:insert|enter|fill in|to be (?:completed|inserted|added|confirmed|supplied)|tbd|tbc|todo|your|placeholder|einf.gen|erg.nzen|eintragen|eingeben|ins.rer|indiquer|compl.ter|saisir|renseigner|insertar|introducir|indicar|completar|rellenar)\b[^\[\]\n]{0,60}| ?[a-z][a-z &-]{1,40} here ?)\]",
-    "angled words": r"<(?i:(?:your|insert|enter|nom|nombre|name|datum|date|fecha|montant|betrag|importe|company|firmenname|titre|title)\b[^<>=/\n]{0,50}|[^<>=/\n]{1,40} (?:einf.gen|erg.nzen|eintragen|here))>",
-    "merge field": r"«(?i:[a-z]+_[a-z_]+|betrag|montant|importe|datum|date|fecha|name|nom|nombre|firma|firmenname|soci.t.|empresa|titel|titre|t.tulo|jahr|ann.e|a.o|amount|company)»",
+    "bracketed order": r"\[(?i:[^\[\]\n]*\b(?:insert|enter|fill in|to be (?:completed|inserted|added|confirmed|supplied)|tbd|tbc|todo|your|placeholder|einf.gen|erg.nzen|eintragen|eingeben|ins.rer|indiquer|compl.ter|saisir|renseigner|insertar|introducir|indicar|completar|rellenar)\b[^\[\]\n]*| ?[a-z][a-z &-]+ here ?)\]",
+    "bracketed field": r"\[ ?(?:[A-Z]+[ _/-])*(?:NAME|DATE|AMOUNT|YEAR|ADDRESS|TITLE|NUMBER|CURRENCY|CITY|COUNTRY|EMAIL|PHONE|COMPANY|FIRMENNAME|DATUM|BETRAG|NOM|MONTANT|NOMBRE|FECHA|IMPORTE)(?:[ _/-][A-Z]+)* ?\]",
+    "angled words": r"<(?i:(?:your|insert|enter|nom|nombre|name|datum|date|fecha|montant|betrag|importe|company|firmenname|titre|title)\b[^<>=/\n]*|[^<>=/\n]+ (?:einf.gen|erg.nzen|eintragen|here))>",
+    "merge field": r"«(?i:[a-z]+_[a-z_]+|_FIELD_)»",
     "letters for digits": r"[$€£][Xx]{1,3}(?:[,.][Xx]{1,3})+|[$€£]X{1,4}\b|\bX{1,3}(?:[,.]X{1,3})+\b|\bXX+%|\bXX[/.-]XX[/.-]XX(?:XX)?\b|\bX{4,}\b",
 }
+# What a single word in braces or guillemets must be, to be a field and not a variable.
+FIELD = "betrag|montant|importe|datum|date|fecha|name|nom|nombre|firma|firmenname|soci.t.|empresa|titel|titre|t.tulo|title|jahr|ann.e|a.o|year|amount|company|address|email|city|country|currency|customer"
+SLOT_GRAMMARS = {k: g.replace("_FIELD_", FIELD) for k, g in SLOT_GRAMMARS.items()}
 SLOT = "|".join(SLOT_GRAMMARS.values())
 
 # Fixed values: (kind, what the message looks like).
@@ -83,6 +91,9 @@ PHRASES = (
     ("message", r"(?i)\bno se encontr. (?:la|el) (?:p.gina|archivo|documento|informe)\b"),
     ("message", r"(?i)\b(?:p.gina|archivo|documento) no encontrad[oa]\b"),
     ("message", r"(?i)\b(?:documento|p.gina|archivo|informe) solicitad[oa] (?:ya )?no (?:est|existe)"),
+    ("message", r"(?i)\b[45][0-9][0-9]:? (?:internal )?(?:server error|not found|forbidden|bad request|unauthori[sz]ed|service unavailable|gateway time-?out|too many requests)\b"),
+    ("message", r"(?i)\b(?:content|page|url|file|document|video|resource|article|link) (?:isn.t|is not|was not|wasn.t|cannot be|could not be|can.t be|couldn.t be) (?:available|found|displayed|loaded|opened|delivered)(?: right now| at the moment| at this time| on this (?:server|site)|[.!,;:]? (?:please )?(?:try again|reload|refresh|go back))"),
+    ("message", r"(?i)\bnot found on this server\b|\bpage you (?:requested|are looking for|were looking for)\b|\bplease try again (?:later|in a few)\b|\byou have been blocked\b"),
     ("message", r"(?i)\baccess denied\b"),
     ("message", r"(?i)\bacc.s refus.\s*(?:[-:.!)\n]|$)"),
     ("message", r"(?i)\bacceso denegado\s*(?:[-:.!)\n]|$)"),
@@ -111,17 +122,19 @@ PHRASES = (
     ("notice", r"(?i)\b(?:turn on|enable|switch on|activate|allow|activez?|activer|activar|habilite|aktivieren sie|requires?|needs?) (?:your )?javascript\b|\bjavascript (?:is|must be|needs to be|appears to be|seems to be) (?:off|disabled|required|enabled|turned|switched|blocked|needed)\b|\bwithout javascript\b"),
     ("notice", r"(?i)\bbrowser blocks scripts\b|\bneeds scripts to run\b|\bscripts must be (?:allowed|enabled|on)\b|\bnoscript mode is\b|\bkeep scripts (?:switched |turned )?on\b|\bscripts are (?:blocked|disabled|required|off)\b|\b(?:enable|allow|turn on) scripts\b[^.\n]{0,40}\b(?:to (?:view|read|see|open|continue)|in your browser|and reload)"),
     ("notice", r"(?i)\bcookies (?:and scripts )?(?:must be|need to be|are) (?:allowed|enabled|accepted|required|disabled|blocked)\b|\b(?:enable|allow|accept|turn on) (?:all )?cookies\b|\bthis (?:site|page|viewer|reader) (?:uses|needs|requires) cookies\b"),
+    ("notice", r"(?i)\b(?:checking|verifying) your browser\b|\bverify(?:ing)? (?:that )?you.re (?:a )?human\b|\bneed to enable javascript\b"),
     ("notice", r"(?i)\b(?:enable|allow) them and reload the page\b"),
     ("notice", r"(?i)\b(?:checking|check|verify|verifying|confirm|prove|make sure) (?:that )?you are (?:a person|a human|human|not a robot|a real)\b"),
     ("notice", r"(?i)\b(?:checking|check|verify|verifying|confirm|prove) (?:that )?you are not a (?:robot|bot|machine)\b"),
     ("notice", r"(?i)\b(?:complete|solve|pass|fill in) the captcha\b"),
 )
 
-# What is cut out before slots are sought, and what tells a tutorial.
-CODE = r"(?s)```.*?(?:```|\z)|`[^`\n]+`"
-SYNTAX_LINE = r"(?im)^.*\b(?:template syntax|placeholder syntax|template engine|code sample|snippet|tutorial)\b.*$"
-TUTORIAL = r"(?i)\b(?:tutorial|template syntax|placeholder syntax|code sample)\b"
-TUTORIAL_SLOTS = 8
+# What is cut out of a text before it is looked at again.
+CODE = r"(?s)```.*?```|`[^`\n]+`"
+REPORTED = r"(?i)\b(?:messages?|errors?|notices?|texts?|words?|wording|phrases?|status|codes?|pages?|reads?|sa(?:ys|id|ying)|show(?:s|n|ed|ing)?|display(?:s|ed|ing)?|return(?:s|ed|ing)?|called|titled|label(?:led|ed|s)?|marked|such as|like)\b[^.!?\n\"“”«»„]*[\"“«„][^\"“”«»\n]*[\"”»“]"
+SYNTAX_SENTENCE = r"(?i)[^.!?\n]*\b(?:template syntax|placeholder syntax|template engine|code sample|snippet|tutorial)\b[^\n]*?(?:[.!?](?=\s|$)|$|(?=\n))"
+SPOKEN = r"(?i)\b(?:tutorial|template syntax|placeholder syntax|template engine|code sample|snippet)\b"
+DENSE = 100  # characters to a slot in a tutorial, at most
 
 
 KINDS = ("slot", "dummy", "message", "notice")
@@ -135,29 +148,32 @@ def _matched(text: pa.Array) -> pa.Array:
     return reduce(pc.bit_wise_or, bits)
 
 
-def slots_outside_code(text: Column) -> Column:
-    """Whether a slot stands open in ``text`` outside of code and tutorials."""
+def own_voice(text: Column) -> Column:
+    """``text`` without code, reported quotations and sentences on template syntax."""
     bare = F.when(text.contains("`"), F.regexp_replace(text, CODE, " ")).otherwise(text)
-    spoken = text.rlike(TUTORIAL)
-    tutorial = spoken & (F.regexp_count(text, F.lit(SLOT)) >= TUTORIAL_SLOTS)
-    prose = F.when(spoken, F.regexp_replace(bare, SYNTAX_LINE, "")).otherwise(bare)
-    return prose.rlike(SLOT) & ~tutorial
+    bare = F.when(bare.rlike(r"[\"“«„]"), F.regexp_replace(bare, REPORTED, " ")).otherwise(bare)
+    return F.when(text.rlike(SPOKEN), F.regexp_replace(bare, SYNTAX_SENTENCE, " ")).otherwise(bare)
 
 
-def _kinds(matched: Column, text: Column) -> Column:
-    """The kinds found, in fixed order; empty for clean texts."""
-    hit = [F.when((matched.bitwiseAND(1) > 0) & slots_outside_code(text), F.lit(KINDS[0]))]
-    hit += [F.when(matched.bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(KINDS) if i]
-    return F.array_compact(F.array(*hit))
+def _with_kinds(documents: DataFrame, kinds: str) -> DataFrame:
+    """``documents`` with a column ``kinds``: those found, in fixed order; empty for clean texts."""
+    text, first, again = F.col("text"), f"{kinds}_first", f"{kinds}_again"
+    df = documents.withColumn(first, _matched("text"))
+    df = df.withColumn(again, _matched(F.when((F.col(first) > 0) & text.rlike(rf"[`\"“«„]|{SPOKEN}"), own_voice(text))))
+    found = F.when((F.col(first) > 0) & text.rlike(rf"[`\"“«„]|{SPOKEN}"), F.col(again)).otherwise(F.col(first))
+    slots = F.regexp_count(text, F.lit(SLOT))
+    dense = (F.col(first) > 0) & text.rlike(SPOKEN) & (slots > 1) & (slots * DENSE > F.length(text))
+    hit = [F.when((found.bitwiseAND(1) > 0) & ~dense, F.lit(KINDS[0]))]
+    hit += [F.when(found.bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(KINDS) if i]
+    return df.withColumn(kinds, F.array_compact(F.array(*hit))).drop(first, again)
 
 
 def find(documents: DataFrame) -> DataFrame:
     """(doc_id, residue) of the documents with residue."""
-    d = documents.select("doc_id", "text").withColumn("matched", _matched("text")).where("matched > 0")
-    return d.select("doc_id", _kinds(F.col("matched"), F.col("text")).alias("residue")).where(F.size("residue") > 0)
+    return _with_kinds(documents.select("doc_id", "text"), "residue").where(F.size("residue") > 0).select("doc_id", "residue")
 
 
 def keep_clean(documents: DataFrame) -> DataFrame:
     """The documents without residue, all columns as they came."""
-    own = "__residue_matched"
-    return documents.withColumn(own, _matched("text")).where(F.size(_kinds(F.col(own), F.col("text"))) == 0).drop(own)
+    own = "__residue"
+    return _with_kinds(documents, own).where(F.size(own) == 0).drop(own)

@@ -24,3 +24,9 @@ def line_keys(text: Column) -> Column:
 def with_text(pages: DataFrame) -> DataFrame:
     """Rows that name a page and have non-blank raw_text."""
     return pages.where(F.col("doc_id").isNotNull() & F.col("page_index").isNotNull() & ~is_blank(F.col("raw_text")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer tasks than the session has cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -50,6 +50,10 @@ def p2_questions(spark, d):
     return p2.canonical_questions(table(spark, d, "retrieval_queries")).select("task_id", "doc_id", "question", "canonical")
 
 
+def p2_question_classes(spark, d):
+    return p2.question_classes(table(spark, d, "retrieval_queries"))
+
+
 def _pieces(spark, d):
     t = lambda name: table(spark, d, name)
     return p3.split(t("page_windows"), t("doc_records"), t("page_headings"), t("model_limits"))
@@ -133,5 +137,5 @@ def p8_kept(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_pages, p2_questions, p3_found, p3_pieces, p4_found, p4_pages, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
+    for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_pages, p2_questions, p2_question_classes, p3_found, p3_pieces, p4_found, p4_pages, p5_found, p5_pages, p5_reports, p6_found, p6_certificates, p7_found, p7_mixture, p7_shares, p8_found, p8_kept)
 }

@@ -42,9 +42,12 @@ def _mapped(c: str) -> str:
     v = f"translate(regexp_replace({c}, {S.quote(p2.INVISIBLE_CLASS)}, '', 'g'), {S.quote(p2._PLAIN_FROM)}, {S.quote(p2._PLAIN_TO)})"
     for a, b in p2.LIGATURES.items():
         v = f"replace({v}, {S.quote(a)}, {S.quote(b)})"
-    mixed = f"regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(w, {S.quote(p2.LOOK_CLASS)})"
-    word = f"CASE WHEN {mixed} THEN translate(w, {S.quote(p2.LOOK_FROM)}, {S.quote(p2.LOOK_TO)}) ELSE w END"
-    return f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({v}, '\\p{{L}}[\\p{{L}}\\p{{M}}]*|[^\\p{{L}}]+'), lambda w: {word}), ''))"
+    look, zeros = S.quote(p2.LOOK_CLASS), "ОоΟοՕօ"
+    word = (
+        f"CASE WHEN NOT regexp_matches(w, {look}) THEN w WHEN regexp_matches(w, '\\p{{Latin}}') THEN translate(w, {S.quote(p2.LOOK_FROM)}, {S.quote(p2.LOOK_TO)}) "
+        f"WHEN regexp_matches(w, '[0-9]') AND regexp_full_match(w, '[0-9{zeros}]+') THEN translate(w, '{zeros}', '000000') ELSE w END"
+    )
+    return f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({v}, '[\\p{{L}}\\p{{Nd}}][\\p{{L}}\\p{{M}}\\p{{Nd}}]*|[^\\p{{L}}\\p{{Nd}}]+'), lambda w: {word}), ''))"
 
 
 _TRIMMED = "trim(regexp_replace(question, '[ \\t\\r\\n]+', ' ', 'g'))"
@@ -56,6 +59,8 @@ ORACLE: dict[str, str] = {
     "p1_blocks": _RECURSIVE + "SELECT doc_id, page_index, line_no, in_block, CAST(block_lines AS INTEGER) AS block_lines FROM removed",
     "p1_clean": _RECURSIVE + f", gone AS (SELECT doc_id, page_index, list(line_no) AS gone FROM removed GROUP BY ALL) SELECT r.doc_id, r.page_index, {_CLEAN} AS clean_text FROM page r LEFT JOIN gone g USING (doc_id, page_index)",
     "p2_questions": f"SELECT DISTINCT task_id, doc_id, question, {_mapped(_TRIMMED)} AS canonical FROM retrieval_queries WHERE {S.not_blank('question')}",
+    "p2_question_classes": f"WITH q AS (SELECT DISTINCT task_id, doc_id, question, {_mapped(_TRIMMED)} AS canonical FROM retrieval_queries WHERE {S.not_blank('question')}), c AS (SELECT doc_id, canonical, count(DISTINCT task_id) AS alike, count(DISTINCT question) AS spellings FROM q GROUP BY ALL) SELECT DISTINCT task_id, doc_id, canonical, alike, spellings FROM q JOIN c USING (doc_id, canonical)",
+    "p2_pages": f"WITH t AS (SELECT DISTINCT doc_id, page_index, field, text FROM (SELECT doc_id, page_index, 'raw_text' AS field, raw_text AS text FROM native_pages UNION ALL SELECT doc_id, page_index, 'search_text', search_text FROM native_pages) WHERE doc_id IS NOT NULL AND page_index IS NOT NULL AND text IS NOT NULL), p AS (SELECT *, regexp_extract_all(text, '[ \\t\\r\\n]+|[^ \\t\\r\\n]+') AS parts FROM t), w AS (SELECT value, {_mapped('value')} AS canonical FROM (SELECT DISTINCT unnest(parts) AS value FROM p) WHERE regexp_matches(value, '[^\\x00-\\x7f]')), u AS (SELECT doc_id, page_index, field, text, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM p), j AS (SELECT doc_id, page_index, field, text, string_agg(coalesce(w.canonical, x), '' ORDER BY i) AS canonical FROM u LEFT JOIN w ON u.x = w.value GROUP BY ALL) SELECT doc_id, page_index, field, coalesce(j.canonical, '') AS canonical FROM t LEFT JOIN j USING (doc_id, page_index, field, text)",
     "p1_found": _LINES + "SELECT doc_id, page_index, line_no FROM keyed SEMI JOIN kept USING (doc_id, k)",
     "p3_found": _WINDOW + "SELECT DISTINCT window_id FROM pages JOIN model_limits USING (model_id) WHERE n > max_pages",
     "p6_found": f"WITH {_SIZED} SELECT capacity_tokens, doc_id FROM sized, (SELECT DISTINCT capacity_tokens FROM pack_specs) WHERE size > capacity_tokens",

@@ -50,6 +50,27 @@ def test_questions_and_pairs(spark):
     assert got == {("page", "d", "0"), ("question", "t2", ""), ("pair", "t1", "t2"), ("pair", "t2", "t6")}
 
 
+def test_canonical_member_is_the_commonest_clean_value(spark):
+    """Not the map: it keeps the weightless character and leaves the accent apart."""
+    df = spark.createDataFrame([("re\x01port", 1), ("report", 5), ("rерort", 2), ("cafe\u0301", 1), ("café", 3)], "value string, n int")
+    got = {r.value: r.canonical for r in p2.canonical_values(df).collect()}
+    assert got == {"re\x01port": "report", "report": "report", "rерort": "report", "cafe\u0301": "café", "café": "café"}
+    mapped = {r[0]: r[1] for r in df.select("value", p2.look_alike_map(p2.F.col("value"))).collect()}
+    assert mapped["re\x01port"] == "re\x01port" != got["re\x01port"] and mapped["cafe\u0301"] != got["cafe\u0301"]
+    # Counts decide, and equal counts go by code point.
+    flip = spark.createDataFrame([("re\x01port", 9), ("report", 5), ("a\x01b", 1), ("ab", 1)], "value string, n int")
+    assert {r.value: r.canonical for r in p2.canonical_values(flip).collect()} == {"re\x01port": "re\x01port", "report": "re\x01port", "a\x01b": "a\x01b", "ab": "a\x01b"}
+
+
+def test_zeros_inside_numbers(spark):
+    assert canon(spark, ["2О24", "10о", "О", "5а"]) == {"2О24": "2024", "10о": "100", "О": "О", "5а": "5а"}
+
+
+def test_question_classes(spark):
+    q = spark.createDataFrame([("t1", "d", "net sales?"), ("t2", "d", "nеt sales?"), ("t3", "d", "net sales?"), ("t4", "d", "other?"), ("t5", "d", None)], "task_id string, doc_id string, question string")
+    assert {(r.task_id, r.alike, r.spellings) for r in p2.question_classes(q).collect()} == {("t1", 3, 2), ("t2", 3, 2), ("t3", 3, 2), ("t4", 1, 1)}
+
+
 def test_texts_are_rebuilt(spark):
     t = "nеt  sales\r\n２０１８\tplain  x"
     df = spark.createDataFrame([(1, t), (2, "plain"), (3, None), (4, "")], "i int, text string")

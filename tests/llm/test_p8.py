@@ -36,6 +36,32 @@ def test_long_text_columns_and_empty(spark):
     assert p8.find(df.limit(0)).count() == 0
 
 
+# Wordings that the expressions were not made from.
+HELD_OUT = {
+    "slot": ["Dear [COMPANY NAME],", "Dear {name},", "Sales of <%= user.name %> rose", "{% block content %}", "{{ " + "a" * 90 + " }}", "[insert " + "a long account of " * 6 + "results]", "as of [DATE OF REPORT]"],
+    "message": ["This content isn't available right now", "The requested URL was not found on this server.", "500 Server Error", "Sorry, the page you are looking for moved.", "The document could not be loaded. Please try again."],
+    "notice": ["Checking your browser before accessing the site", "You need to enable JavaScript to run this app."],
+}
+SPOKEN_OF = [
+    "```\nAccess denied\n```", "The server log shows `HTTP 404` on most days.", 'The error reads "Access denied" when a key is missing.', "Customers saw a page that says “Session expired” less often.",
+    "[SIGNATURE PAGE FOLLOWS]", "[INTENTIONALLY OMITTED]", "the set {x} of goods", "The report was not available to shareholders until May.", "This snippet of template syntax, {{name}}, is filled in.",
+]
+
+
+def test_held_out_wordings(spark):
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in HELD_OUT.items() for t in ts)]
+    got = {r.doc_id: r.residue for r in p8.find(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()}
+    assert [(t, got.get(i)) for i, t, k in rows if k not in got.get(i, [])] == []
+    df = spark.createDataFrame(list(enumerate(SPOKEN_OF)), "doc_id long, text string")
+    assert [(SPOKEN_OF[r.doc_id], r.residue) for r in p8.find(df).collect()] == []
+
+
+def test_context_counts_where_it_stands(spark):
+    """Code, quotation or a word on syntax elsewhere in a text excuses nothing."""
+    texts = ["`a = 1` is code. Access denied", 'He said "yes". HTTP 404', "A tutorial was held.\n" + "Costs rose in every segment of the group. " * 200 + "{{a_b}} " * 9, "``` Access denied, and the fence stays open", "Template syntax is dull. Sales of {{issuer}} rose."]
+    assert p8.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
+
+
 @pytest.mark.parametrize("text", ["A tutorial.\n" + "{{a_b}} \n" * 9])
 def test_tutorial(spark, text):
     assert p8.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 0
