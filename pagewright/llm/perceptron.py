@@ -24,14 +24,19 @@ class AveragedPerceptron:
                         out[label] += v
         return out
 
+    def best(self, features, labels) -> str:
+        """The label of the highest score; the first of equal ones."""
+        s = self.scores(features, labels)
+        return max(labels, key=s.__getitem__)
+
     def learn(self, features, labels, truth: str) -> None:
         self._steps += 1
         s = self.scores(features, labels)
-        guess = max(labels, key=lambda x: (s[x], x))
-        if guess != truth:
+        rival = max((x for x in labels if x != truth), key=lambda x: (s[x], x))
+        if s[rival] >= s[truth]:  # a tie is a mistake too
             for f in features:
                 w, total = self.weights.setdefault(f, {}), self._sums[f]
-                for label, d in ((truth, 1.0), (guess, -1.0)):
+                for label, d in ((truth, 1.0), (rival, -1.0)):
                     w[label] = w.get(label, 0.0) + d
                     total[label] += d * self._steps
 

@@ -69,7 +69,7 @@ def p3_pieces(spark, d):
 
 def _scans(spark, d):
     return (
-        table(spark, d, "ocr_lines", "doc_id", "page_index", "line_order", "text"),
+        table(spark, d, "ocr_lines", "doc_id", "page_index", "line_order", "text", "confidence"),
         table(spark, d, "native_pages", "doc_id", "page_index", "raw_text"),
         table(spark, d, "page_headings", "doc_id", "page_index", "heading_text"),
     )
