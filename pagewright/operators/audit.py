@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import is_blank
+from pagewright.session import cut
 
 ISSUES = ("code", "entity", "id")
 
@@ -36,30 +37,54 @@ def distribution(df: DataFrame, column: str | Column, name: str) -> DataFrame:
     return df.select(F.lit(name).alias("field"), F.coalesce(c.cast("string"), F.lit("unspecified")).alias("value")).groupBy("field", "value").agg(F.count("*").alias("count"))
 
 
-def manifest_issues(documents: DataFrame, tasks: DataFrame) -> DataFrame:
+WARNINGS = ("pdf_without_metadata", "not_ocr_input_ready", "limited_sector_coverage", "pilot_reports_without_questions")
+
+
+def coded(df: DataFrame, entity: str, key: Column, rules: dict[str, Column]) -> DataFrame:
+    """One pass over ``df``: an issue for each rule that a row breaks."""
+    codes = F.array_compact(F.array(*(F.when(broken, F.lit(code)) for code, broken in rules.items())))
+    return df.select(F.explode(codes).alias("code"), F.lit(entity).alias("entity"), key.cast("string").alias("id"))
+
+
+def manifest_issues(documents: DataFrame, tasks: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(code, entity, id) for the two manifests.
 
-    documents: doc_id, page_count, pdf_path, source_path, source_format, one row per record;
-    tasks: task_id, doc_id, question, evidence_pages, one row per record.
+    documents: doc_id, page_count, pdf_path, source_path, source_format, one row per record, registered_at telling
+    which record of a doc_id is the last; tasks: task_id, doc_id, question, evidence_pages, and optionally task_type and
+    answers, one row per record. Rules on questions and answers hold for question answering, which a task is without a type.
+    files: (path) of what exists; with it, a document must point to one.
     """
-    doc, task = F.col("doc_id"), F.col("task_id")
-    no_path = F.coalesce("source_path", "pdf_path").isNull() | (F.coalesce("source_path", "pdf_path") == "")
-    first = documents.groupBy("doc_id").agg(F.max("page_count").alias("page_count"))
-    known = tasks.join(first, "doc_id")
-    ev = F.col("evidence_pages")
+    doc, task, ev = F.col("doc_id"), F.col("task_id"), F.col("evidence_pages")
+    path = F.coalesce("source_path", "pdf_path")
+    stamp = F.struct("registered_at", "page_count") if "registered_at" in documents.columns else F.struct("page_count")
+    last = documents.where("doc_id is not null").groupBy("doc_id").agg(F.max(stamp).alias("r")).select("doc_id", F.col("r.page_count").alias("page_count"), F.lit(True).alias("known"))
+    on_docs = {
+        "empty_doc_id": is_blank(doc),
+        "invalid_page_count": F.col("page_count").isNull() | (F.col("page_count") <= 0),
+        "missing_source_path": path.isNull() | (path == ""),
+        "not_ocr_input_ready": F.col("source_format").isNull() | (F.col("source_format") != "pdf"),
+    }
+    docs = documents
+    if files is not None:
+        docs = documents.withColumn("_path", path).join(files.select(F.col("path").alias("_path"), F.lit(True).alias("_there")).distinct(), "_path", "left")
+        on_docs["missing_source_file"] = (path != "") & F.col("_there").isNull()
+    known = F.coalesce("known", F.lit(False))
+    asks = known & (F.coalesce("task_type", F.lit("question_answering")) == "question_answering" if "task_type" in tasks.columns else F.lit(True))
+    on_tasks = {
+        "orphan_task": ~known,
+        "empty_question": asks & is_blank(F.col("question")),
+        "empty_evidence_pages": asks & (ev.isNull() | (F.size(ev) == 0)),
+        "duplicate_evidence_page": known & (F.size(ev) != F.size(F.array_distinct(ev))),
+        "invalid_evidence_page": known & F.exists(ev, lambda p: p.isNull() | (p < 0) | (p >= F.col("page_count"))),
+    }
+    if "answers" in tasks.columns:
+        on_tasks["empty_answers"] = asks & ~F.coalesce(F.exists("answers", lambda a: ~is_blank(a)), F.lit(False))
     return union(
         [
             issue(duplicates(documents, "doc_id"), "duplicate_doc_id", "document", doc),
             issue(duplicates(tasks, "task_id"), "duplicate_task_id", "task", task),
-            issue(documents.where(is_blank(doc)), "empty_doc_id", "document", doc),
-            issue(documents.where("page_count is null or page_count <= 0"), "invalid_page_count", "document", doc),
-            issue(documents.where(no_path), "missing_source_path", "document", doc),
-            issue(documents.where("source_format is null or source_format <> 'pdf'"), "not_ocr_input_ready", "document", doc),
-            issue(tasks.join(first, "doc_id", "left_anti"), "orphan_task", "task", task),
-            issue(known.where(is_blank(F.col("question"))), "empty_question", "task", task),
-            issue(known.where(ev.isNull() | (F.size(ev) == 0)), "empty_evidence_pages", "task", task),
-            issue(known.where(F.size(ev) != F.size(F.array_distinct(ev))), "duplicate_evidence_page", "task", task),
-            issue(known.where(F.exists(ev, lambda p: p.isNull() | (p < 0) | (p >= F.col("page_count")))), "invalid_evidence_page", "task", task),
+            coded(docs, "document", doc, on_docs),
+            coded(tasks.join(last, "doc_id", "left"), "task", task, on_tasks),
         ]
     )
 
@@ -76,7 +101,7 @@ def index_quantiles(df: DataFrame, column: str) -> DataFrame:
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
     # Ranges of values, each summed first: no task sees more than one range.
-    ranged = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    ranged = cut(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
     offsets = ranged.groupBy("part").agg(F.sum("c").alias("s")).withColumn("before", F.coalesce(F.expr("sum(s) over (order by part rows between unbounded preceding and 1 preceding)"), F.lit(0)))
     within = F.coalesce(F.sum("c").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.withColumn("within", within).join(offsets.select("part", "before"), "part").select("value", "c", (F.col("before") + F.col("within")).alias("at"))
@@ -108,28 +133,49 @@ def extraction_summary(pages: DataFrame) -> DataFrame:
 
 def cached_page_issues(native_pages: DataFrame) -> DataFrame:
     """(code, doc_id, page_index) of stored page rows that a comparison must not read."""
-    i = lambda df, code: df.select(F.lit(code).alias("code"), "doc_id", "page_index").distinct()
     blank = is_blank(F.col("raw_text"))
-    return union(
-        [
-            i(native_pages.where("page_index < 0"), "negative_page"),
-            i(native_pages.where("page_index_base <> 0"), "not_zero_based"),
-            i(native_pages.where("document_sha256 <> expected_document_sha256"), "checksum_mismatch"),
-            i(native_pages.where(blank & (F.col("status") == "ok")), "ok_without_text"),
-            i(native_pages.where(~blank & (F.col("status") != "ok")), "text_without_ok"),
-            i(native_pages.where(F.col("raw_text").isNotNull() & (F.coalesce("raw_character_count", F.lit(-1)) != F.length("raw_text"))), "wrong_character_count"),
-        ]
-    )
+    rules = {
+        "negative_page": F.col("page_index") < 0,
+        "not_zero_based": F.col("page_index_base") != 0,
+        "checksum_mismatch": F.col("document_sha256") != F.col("expected_document_sha256"),
+        "ok_without_text": blank & (F.col("status") == "ok"),
+        "text_without_ok": ~blank & (F.col("status") != "ok"),
+        "wrong_character_count": F.col("raw_text").isNotNull() & (F.coalesce("raw_character_count", F.lit(-1)) != F.length("raw_text")),
+    }
+    codes = F.array_compact(F.array(*(F.when(broken, F.lit(code)) for code, broken in rules.items())))
+    return native_pages.select(F.explode(codes).alias("code"), "doc_id", "page_index").distinct()
+
+
+def cached_report_issues(pages: DataFrame, summary: DataFrame) -> DataFrame:
+    """(code, doc_id): where the pages of a report and its extraction summary disagree.
+
+    pages: the page relation; summary: doc_id, expected_pages, failed_pages, characters.
+    """
+    made = pages.groupBy("doc_id").agg(F.countDistinct("page_index").alias("n"), F.min("page_index").alias("lo"), F.max("page_index").alias("hi"), F.count_if(F.col("status").isin("page_failed", "document_failed")).alias("failed"), F.sum(F.length("raw_text")).alias("made"))
+    both = summary.join(made, "doc_id", "full")
+    rules = {
+        "report_without_pages": F.col("n").isNull(),
+        "pages_without_report": F.col("expected_pages").isNull(),
+        "incomplete_pages": (F.col("n") != F.col("expected_pages")) | (F.col("lo") != 0) | (F.col("hi") != F.col("expected_pages") - 1),
+        "failed_count_differs": F.col("failed") != F.col("failed_pages"),
+        "character_count_differs": F.col("made") != F.col("characters"),
+    }
+    codes = F.array_compact(F.array(*(F.when(broken, F.lit(code)) for code, broken in rules.items())))
+    return both.select(F.explode(codes).alias("code"), "doc_id")
 
 
 def annotation_issues(rows: DataFrame) -> DataFrame:
     """(id, code): the first rule that an annotation row breaks.
 
-    rows: id, company, year, question, type, page_numbers (one-based), answer double, all nullable.
+    rows: id, question, type, page_numbers (one-based), answer double, all nullable; company and year are checked where they are there.
     """
     pn = F.col("page_numbers")
+    company = is_blank(F.col("company")) if "company" in rows.columns else F.lit(False)
+    year = ~F.coalesce(F.col("year").cast("string").rlike(r"^[0-9]{4}$"), F.lit(False)) if "year" in rows.columns else F.lit(False)
     code = (
         F.when(is_blank(F.col("id")), "empty_id")
+        .when(company, "empty_company")
+        .when(year, "year_not_four_digits")
         .when(is_blank(F.col("question")), "empty_question")
         .when(~F.coalesce(F.col("type").isin("mixed", "table", "text"), F.lit(False)), "unsupported_type")
         .when(pn.isNull() | (F.size(pn) == 0), "empty_page_numbers")
@@ -150,7 +196,7 @@ def question_schema_issues(questions: DataFrame) -> DataFrame:
 
 
 def dataset_issues(metadata: DataFrame, questions: DataFrame, files: DataFrame) -> DataFrame:
-    """(code, entity, id) of a raw dataset: metadata (doc_name, company, fiscal_year), questions
+    """(code, entity, id) of a raw dataset, an empty table of metadata or questions included: metadata (doc_name, company, fiscal_year), questions
     (source_id, doc_name, question, evidence), files (stem, path, valid)."""
     stem = F.lower("stem")
     name = F.lower("doc_name")
@@ -162,6 +208,8 @@ def dataset_issues(metadata: DataFrame, questions: DataFrame, files: DataFrame)
     foreign = questions.select("source_id", "doc_name", F.explode("evidence").alias("e")).where("e.evidence_doc_name is not null and e.evidence_doc_name <> doc_name").select("source_id").distinct()
     return union(
         [
+            issue(metadata.agg(F.count("*").alias("n")).where("n = 0"), "empty_metadata", "dataset", F.lit("metadata")),
+            issue(questions.agg(F.count("*").alias("n")).where("n = 0"), "empty_questions", "dataset", F.lit("questions")),
             issue(indexed.where("n > 1"), "duplicate_pdf_stem", "file", F.col("path")),
             issue(duplicates(metadata, "doc_name"), "duplicate_metadata_doc_name", "metadata", F.col("doc_name")),
             issue(metadata.where(is_blank(F.col("doc_name"))), "empty_doc_name", "metadata", F.col("doc_name")),
@@ -177,12 +225,27 @@ def dataset_issues(metadata: DataFrame, questions: DataFrame, files: DataFrame)
     )
 
 
-def gate(issues: DataFrame, warnings: tuple[str, ...] = ("pdf_without_metadata", "not_ocr_input_ready")) -> DataFrame:
+def gate(issues: DataFrame, warnings: tuple[str, ...] = WARNINGS) -> DataFrame:
     """(blocking, warnings, ready): one row; ready without a blocking issue."""
     soft = F.col("code").isin(*warnings)
     return issues.agg(F.count_if(~soft).alias("blocking"), F.count_if(soft).alias("warnings")).withColumn("ready", F.col("blocking") == 0)
 
 
+def pilot_issues(selected: DataFrame, inventory: DataFrame, companies: int) -> DataFrame:
+    """(code, entity, id): what speaks against a pilot of so many companies.
+
+    selected: company, doc_name; inventory: doc_name, sector, qa_cases.
+    """
+    rows = selected.select("doc_name", "company").join(inventory.select("doc_name", "sector", "qa_cases"), "doc_name")
+    total = rows.agg(F.count("*").alias("n"), F.countDistinct("company").alias("c"), F.sum("qa_cases").alias("q"), F.countDistinct(F.coalesce("sector", F.lit("Unknown"))).alias("s"), F.count_if(F.coalesce("sector", F.lit("Unknown")) == "Unknown").alias("u"))
+    rules = {
+        "pilot_selection_failed": F.col("c") < companies,
+        "pilot_has_no_questions": (F.col("n") > 0) & (F.col("q") == 0),
+        "limited_sector_coverage": (F.col("n") > 0) & ((F.col("u") > 0) | (F.col("s") < companies)),
+    }
+    return coded(total, "pilot", F.lit("pilot"), rules).unionByName(issue(rows.where("qa_cases = 0"), "pilot_reports_without_questions", "document", F.col("doc_name")))
+
+
 def render_plan(tasks: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, pages, n_pages, blocker): the evidence pages to render of each report, and what stands in the way."""
     pages = tasks.select("doc_id", F.explode("evidence_pages").alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_set("p")).alias("pages"))

@@ -72,6 +72,18 @@ def paired_counts(pairs: DataFrame) -> DataFrame:
     return long.groupBy("k", "metric").agg(F.count_if(F.col("d") > 0).alias("gains"), F.count_if(F.col("d") < 0).alias("regressions"), F.count_if(F.col("d") == 0).alias("unchanged"))
 
 
+def comparison(control: DataFrame, treatment: DataFrame) -> DataFrame:
+    """(k, metric, questions, control, treatment, delta, gains, regressions, unchanged) of two conditions' ``per_question``."""
+    metrics = ("recall", "any_hit", "all_hit", "reciprocal_rank")
+    c = control.select("task_id", "doc_id", "k", *(F.col(m).alias(f"c_{m}") for m in metrics))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"c_{m}").cast("double").alias("a"), F.col(m).cast("double").alias("b")) for m in metrics))).alias("m")
+    long = c.join(treatment, ["task_id", "doc_id", "k"]).select("k", each).select("k", "m.*")
+    return long.groupBy("k", "metric").agg(
+        F.count("*").alias("questions"), F.avg("a").alias("control"), F.avg("b").alias("treatment"), F.avg(F.col("b") - F.col("a")).alias("delta"),
+        F.count_if(F.col("b") > F.col("a")).alias("gains"), F.count_if(F.col("b") < F.col("a")).alias("regressions"), F.count_if(F.col("b") == F.col("a")).alias("unchanged"),
+    )
+
+
 def rank_change(control: DataFrame, treatment: DataFrame) -> DataFrame:
     """(task_id, doc_id, page_index, control_rank, treatment_rank, change) of gold pages; below 0 is better."""
     t = treatment.withColumnRenamed("rank", "treatment_rank")
@@ -84,3 +96,16 @@ def reproduction_issues(saved: DataFrame, again: DataFrame, tolerance: float = 1
     b = again.select("task_id", "rank", F.col("page_index").alias("pb"), F.col("score").alias("sb"))
     near = F.abs(F.col("sa") - F.col("sb")) <= F.greatest(tolerance * F.greatest(F.abs("sa"), F.abs("sb")), F.lit(tolerance))
     return a.join(b, ["task_id", "rank"], "full_outer").where(~F.coalesce((F.col("pa") == F.col("pb")) & near, F.lit(False))).select("task_id", "rank")
+
+
+def prediction_summary(queries: DataFrame, pages: DataFrame, flags: DataFrame) -> DataFrame:
+    """(status, questions, without_match): queries by the extraction status of their report.
+
+    A report without pages, or with all of them failed as a document, is 'document_failed'; one with any failed
+    page 'partial_extraction'. pages: the page relation; flags: ``bm25.match_flags``.
+    """
+    failed = F.count_if(F.col("status").isin("page_failed", "document_failed"))
+    status = F.when(F.count("*") == F.count_if(F.col("status") == "document_failed"), "document_failed").when(failed > 0, "partial_extraction").otherwise("ok")
+    reports = pages.groupBy("doc_id").agg(status.alias("status"))
+    q = queries.select("task_id", "doc_id").distinct().join(reports, "doc_id", "left").join(flags, ["task_id", "doc_id"], "left")
+    return q.groupBy(F.coalesce("status", F.lit("document_failed")).alias("status")).agg(F.count("*").alias("questions"), F.count_if(F.coalesce("no_match", F.lit(True))).alias("without_match"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from pagewright.session import cut
 
@@ -26,24 +26,35 @@ def page_windows(documents: DataFrame, sizes=PAGE_SIZES, per_size: int = 3, seed
         anchors = F.slice(F.array_sort(F.array_distinct(F.array(F.lit(0), "last", F.expr("last div 2")))), 1, per_size)
         rows = sized.withColumn("start_page", F.explode(anchors))
     else:
-        rows = docs.withColumn("w", F.explode(_drawn_windows(tuple(sizes), per_size, seed)("doc_id", "page_count"))).select("doc_id", F.col("w")[0].alias("start_page"), F.col("w")[1].alias("size"))
+        anchors = F.array_sort(F.array_distinct(F.array(F.lit(0), "last", F.expr("last div 2"))))
+        # A report's sizes in their order, since they share one generator; only the further starts are drawn in Python.
+        lasts = F.transform(F.array(*map(F.lit, sizes)), lambda s: F.greatest(F.col("page_count") - s, F.lit(0)))
+        extra = docs.select("doc_id", F.posexplode(_further_starts(per_size, seed)("doc_id", lasts)).alias("i", "drawn"))
+        order = F.array_position(F.array(*map(F.lit, sizes)), F.col("requested")).cast("int") - 1
+        joined = sized.withColumn("i", order).join(extra, ["doc_id", "i"])
+        rows = joined.withColumn("start_page", F.explode(F.slice(F.array_sort(F.array_distinct(F.concat(anchors, "drawn"))), 1, per_size)))
     return rows.select("doc_id", "start_page", (F.col("start_page") + F.col("size")).alias("end_page")).distinct()
 
 
-def _drawn_windows(sizes, per_size, seed):
-    """Sequential draws of one generator per report, over all sizes in order."""
+def _further_starts(per_size: int, seed: int):
+    """For each size, what the report's generator adds to the anchors until there are ``per_size`` starts, or all."""
 
-    @F.udf(ArrayType(ArrayType(IntegerType())), useArrow=True)
-    def draw(doc_id, page_count):
-        rng, out = random.Random(f"{seed}:{doc_id}"), []
-        for requested in sizes:
-            size = min(requested, page_count)
-            last = page_count - size
-            starts = {0, last, last // 2}
-            while len(starts) < min(per_size, last + 1):
-                starts.add(rng.randint(0, last))
-            out += [[s, size] for s in sorted(starts)[:per_size]]
-        return out
+    def of_report(doc_id: str, lasts) -> list[list[int]]:
+        generator = random.Random(f"{seed}:{doc_id}")
+
+        def more(last: int) -> list[int]:
+            fixed, wanted = {0, last // 2, last}, min(per_size, last + 1)
+            stream = iter(lambda: generator.randint(0, last), None)
+            new: dict[int, None] = {}
+            while len(fixed) + len(new) < wanted:
+                new |= dict.fromkeys({next(stream)} - fixed)
+            return list(new)
+
+        return [more(int(last)) for last in lasts]
+
+    @F.pandas_udf("array<array<int>>")
+    def draw(doc_id: pd.Series, lasts: pd.Series) -> pd.Series:
+        return pd.Series(list(map(of_report, doc_id, lasts)))
 
     return draw
 
@@ -57,7 +68,8 @@ def job_matrix(documents: DataFrame, models: DataFrame, windows: DataFrame) -> D
     m = models.where(F.coalesce("enabled", F.lit(True))).select(F.col("id").alias("model_id"), F.explode("strategies").alias("strategy"))
     w = windows.join(documents.select("doc_id"), "doc_id", "left_semi")
     pairs = [(r.model_id, r.strategy) for r in m.collect()]
-    each = F.explode(F.array(*(F.struct(F.lit(a).alias("model_id"), F.lit(b).alias("strategy")) for a, b in pairs))).alias("m")
+    none = F.array().cast("array<struct<model_id:string,strategy:string>>")
+    each = F.explode(F.concat(none, *(F.array(F.struct(F.lit(a).alias("model_id"), F.lit(b).alias("strategy"))) for a, b in pairs))).alias("m")
     return w.select("doc_id", "start_page", "end_page", each).select("doc_id", "m.model_id", "m.strategy", "start_page", "end_page", (F.col("end_page") - F.col("start_page")).alias("page_count"))
 
 
@@ -101,15 +113,18 @@ def spaced(n: Column, wanted: int) -> Column:
     return F.array_distinct(F.array(*(p.cast("int") for p in picks)))
 
 
-def pilot_selection(inventory: DataFrame, companies: int = 4, per_company: int = 3, least_years: int = 8) -> DataFrame:
+def pilot_selection(inventory: DataFrame, companies: int = 4, per_company: int = 3, least_years: int = 8, strict: bool = True) -> DataFrame:
     """(company, fiscal_year, doc_name): the reports of a pilot.
 
     inventory: doc_name, company, sector, fiscal_year, doc_type, qa_cases, pdf_valid, position.
+    strict: fewer companies than asked for are an error; otherwise ``audit.pilot_issues`` reports them.
     """
     if min(companies, per_company, least_years) < 1:
         raise ValueError("counts and years must be positive")
     annual = inventory.where(F.col("doc_type").isin(*ANNUAL_TYPES) & F.col("pdf_valid"))
     chosen = choose_companies(company_rollup(annual), companies, max(least_years, per_company))
+    if strict and chosen.count() < companies:
+        raise ValueError(f"fewer than {companies} companies have {max(least_years, per_company)} years of annual reports")
     rows = annual.join(chosen.select("company", F.col("years").alias("n_years")), "company")
     by_year = Window.partitionBy("company").orderBy("fiscal_year")
     rows = rows.withColumn("year_index", F.dense_rank().over(by_year) - 1).where(F.array_contains(spaced(F.col("n_years"), per_company), F.col("year_index")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import metrics
 from pagewright.functions.text import is_blank
-from pagewright.operators import audit, pages, planning
+from pagewright.operators import audit, datasets, pages, planning
 from pagewright.plans import sqltext as S
 from pagewright.plans.ranking import _labels, _pages, _queries, _with
 from pagewright.sources import readers
@@ -66,7 +66,23 @@ def page_offsets(spark, d):
     return e.select("task_id", F.array_join(F.transform("evidence_pages", lambda p: (p + 1).cast("string")), ",").alias("one_based"))
 
 
-_MANIFEST = _with(_TASKS, "first AS (SELECT doc_id, max(page_count) AS page_count FROM doc_records GROUP BY doc_id)", "known AS (SELECT t.*, f.page_count FROM tasks t JOIN first f USING (doc_id))")
+# Formats of numbers as the metrics read them; see _number_sql below.
+_WIDE = "[" + S.SPACE.replace("{", "{{").replace("}", "}}") + "]"
+
+
+def _number_sql(c: str, space: str = r"\s") -> str:
+    whole = f"regexp_extract({c}, '[-+]?\\(?\\$?{space}*([0-9][0-9,]*(?:\\.[0-9]+)?){space}*\\)?', {{}})"
+    v = f"try_cast(replace({whole.format(1)}, ',', '') AS DOUBLE)"
+    w = whole.format(0)
+    return f"CASE WHEN {w} = '' THEN NULL WHEN starts_with(ltrim({w}), '-') OR (contains({w}, '(') AND contains({w}, ')')) THEN -{v} ELSE {v} END"
+
+
+_MANIFEST = _with(
+    _TASKS,
+    "stored AS (SELECT coalesce(source_path, pdf_path) AS path FROM doc_records WHERE source_format = 'pdf')",
+    "first AS (SELECT doc_id, arg_max(page_count, ({'a': registered_at, 'b': page_count})) AS page_count FROM (SELECT doc_id, coalesce(registered_at, TIMESTAMP '0001-01-01') AS registered_at, coalesce(page_count, -1) AS page_count FROM doc_records) GROUP BY doc_id)",
+    "known AS (SELECT t.*, nullif(f.page_count, -1) AS page_count FROM tasks t JOIN first f USING (doc_id))",
+)
 _MANIFEST_ISSUES = f"""
 SELECT 'duplicate_doc_id' AS code, 'document' AS entity, doc_id AS id FROM (SELECT doc_id FROM doc_records GROUP BY doc_id HAVING count(*) > 1)
 UNION ALL SELECT 'duplicate_task_id', 'task', task_id FROM (SELECT task_id FROM tasks GROUP BY task_id HAVING count(*) > 1)
@@ -78,11 +94,18 @@ UNION ALL SELECT 'orphan_task', 'task', task_id FROM tasks WHERE doc_id NOT IN (
 UNION ALL SELECT 'empty_question', 'task', task_id FROM known WHERE NOT {S.not_blank('question')}
 UNION ALL SELECT 'empty_evidence_pages', 'task', task_id FROM known WHERE evidence_pages IS NULL OR len(evidence_pages) = 0
 UNION ALL SELECT 'duplicate_evidence_page', 'task', task_id FROM known WHERE len(evidence_pages) <> len(list_distinct(evidence_pages))
+UNION ALL SELECT 'empty_answers', 'task', task_id FROM known WHERE question IS NULL OR {_number_sql('question', _WIDE)} IS NULL
+UNION ALL SELECT 'missing_source_file', 'document', doc_id FROM doc_records WHERE coalesce(source_path, pdf_path) <> '' AND coalesce(source_path, pdf_path) NOT IN (SELECT path FROM stored WHERE path IS NOT NULL)
 UNION ALL SELECT 'invalid_evidence_page', 'task', task_id FROM known WHERE len(list_filter(evidence_pages, lambda p: p IS NULL OR p < 0 OR p >= page_count)) > 0"""
 
 
 def _issues(spark, d):
-    return audit.manifest_issues(table(spark, d, "doc_records"), _tasks(spark, d))
+    """The questions' first numbers stand for answers, and the paths of the PDF records for the files that exist."""
+    docs = table(spark, d, "doc_records")
+    answer = metrics.parse_number(F.col("question"))
+    tasks = _tasks(spark, d).withColumn("task_type", F.lit("question_answering")).withColumn("answers", F.when(answer.isNotNull(), F.array(datasets.answer_text(answer))))
+    files = docs.where("source_format = 'pdf'").select(F.coalesce("source_path", "pdf_path").alias("path"))
+    return audit.manifest_issues(docs, tasks, files)
 
 
 @query(_MANIFEST + _MANIFEST_ISSUES)
@@ -249,7 +272,7 @@ def company_rollup(spark, d):
 
 @query(_PILOT + "SELECT company, fiscal_year, doc_name FROM b WHERE n = 1")
 def pilot_selection(spark, d):
-    return planning.pilot_selection(_inventory(spark, d), companies=4, per_company=3, least_years=3)
+    return planning.pilot_selection(_inventory(spark, d), companies=4, per_company=3, least_years=3, strict=False)
 
 
 @query("SELECT DISTINCT doc_id FROM doc_records WHERE source_format = 'pdf' AND doc_id IN (SELECT doc_id FROM retrieval_queries)")
@@ -258,27 +281,27 @@ def selected_reports(spark, d):
     return docs.join(table(spark, d, "retrieval_queries", "doc_id"), "doc_id", "left_semi").select("doc_id").distinct()
 
 
-_NUMBERED = "('10'), ('9'), ('q2'), ('q10'), ('007'), ('a')"
-
-
-@query(f"SELECT id, CAST(row_number() OVER (ORDER BY NOT regexp_matches(id, '^[0-9]+$'), try_cast(id AS DECIMAL(38, 0)), id) AS INTEGER) AS position FROM (VALUES {_NUMBERED}) v(id)")
-def numeric_aware_order(spark, d):
-    return planning.numeric_aware_order(spark.sql(f"SELECT id FROM VALUES {_NUMBERED} AS v(id)"), "id")
-
-
 @query("SELECT task_id, CAST(row_number() OVER (ORDER BY NOT regexp_matches(task_id, '^[0-9]+$'), try_cast(task_id AS DECIMAL(38, 0)), task_id) AS INTEGER) AS position FROM (SELECT DISTINCT task_id FROM retrieval_queries WHERE task_id IS NOT NULL)")
-def task_order(spark, d):
+def numeric_aware_order(spark, d):
     return planning.numeric_aware_order(table(spark, d, "retrieval_queries", "task_id").distinct().where("task_id is not null"), "task_id")
 
 
 # Metrics and review. ------------------------------------------------------------------------
+# What case folding does beyond lower case.
+_FOLDS = {"ß": "ss", "ſ": "s", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def _plain(c: str) -> str:
-    return f"trim(regexp_replace(replace(lower({c}), 'ß', 'ss'), '[{S.SPACE}]+', ' ', 'g'))"
+    out = f"lower({c})"
+    for a, b in _FOLDS.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim(regexp_replace({out}, '[{S.SPACE}]+', ' ', 'g'))"
 
 
-# DuckDB's levenshtein counts bytes; the SQL brings texts to one byte a character.
-_ONE_BYTE = "regexp_replace({}, '[^\\x00-\\x7f]', '?', 'g')"
-_A, _B = _plain(_ONE_BYTE.format("question")), _plain(_ONE_BYTE.format("prior"))
+# DuckDB's levenshtein counts bytes: each other character of a pair gets a byte of its own, none of which is left in a lower-case text.
+_FREE = S.quote("".join(map(chr, [*range(1, 9), *range(14, 28), 127])) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_OTHER = "array_to_string(list_distinct(regexp_extract_all(a || b, '[^\\x00-\\x7f]')), '')"
+_CODED = f"SELECT task_id, doc_id, translate(a, o, left({_FREE}, length(o))) AS a, translate(b, o, left({_FREE}, length(o))) AS b FROM (SELECT *, {_OTHER} AS o FROM (SELECT task_id, doc_id, {_plain('question')} AS a, {_plain('prior')} AS b FROM prior))"
 
 
 def _neighbours(spark, d):
@@ -287,37 +310,15 @@ def _neighbours(spark, d):
     return q.withColumn("prior", F.lag("question").over(Window.partitionBy("doc_id").orderBy("task_id", "question"))).where("prior is not null")
 
 
-@query(f"SELECT task_id, doc_id, round(1.0 - levenshtein({_A}, {_B}) / greatest(length({_A}), length({_B}), 1), 6) AS similarity FROM (SELECT *, lag(question) OVER (PARTITION BY doc_id ORDER BY task_id, question) AS prior FROM (SELECT DISTINCT task_id, doc_id, question FROM retrieval_queries WHERE question IS NOT NULL)) WHERE prior IS NOT NULL")
+@query("WITH prior AS (SELECT * FROM (SELECT *, lag(question) OVER (PARTITION BY doc_id ORDER BY task_id, question) AS prior FROM (SELECT DISTINCT task_id, doc_id, question FROM retrieval_queries WHERE question IS NOT NULL)) WHERE prior IS NOT NULL) " + f"SELECT task_id, doc_id, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b), 1), 6) AS similarity FROM ({_CODED})")
 def edit_similarity(spark, d):
-    """Each question, whole, against the one before it in its report.
-
-    The SQL sees every non-ASCII character as '?', so it differs where such characters do.
-    """
+    """Each question, whole, against the one before it in its report."""
     q = _neighbours(spark, d)
     return q.select("task_id", "doc_id", F.round(metrics.edit_similarity(F.col("question"), F.col("prior")), 6).alias("similarity"))
 
 
-_PAIRS = (("$1,000.00", "1005", 0.01), ("(125)", "-125", 0.0), ("1000", "1200", 0.01), ("no number", "1", 0.5), ("about $ 12.5 million", "12.50", 0.001), ("-3", "3", 0.1))
-
-
-def _number_sql(c: str, space: str = r"\s") -> str:
-    whole = f"regexp_extract({c}, '[-+]?\\(?\\$?{space}*([0-9][0-9,]*(?:\\.[0-9]+)?){space}*\\)?', {{}})"
-    v = f"try_cast(replace({whole.format(1)}, ',', '') AS DOUBLE)"
-    w = whole.format(0)
-    return f"CASE WHEN {w} = '' THEN NULL WHEN starts_with(ltrim({w}), '-') OR (contains({w}, '(') AND contains({w}, ')')) THEN -{v} ELSE {v} END"
-
-
-@query("SELECT a, b, coalesce(abs(x - y) <= greatest(t * greatest(abs(x), abs(y)), t), false) AS matches FROM (SELECT a, b, t, " + _number_sql("a") + " AS x, " + _number_sql("b") + " AS y FROM (VALUES " + ", ".join(f"({S.quote(a)}, {S.quote(b)}, CAST({t} AS DOUBLE))" for a, b, t in _PAIRS) + ") v(a, b, t))")
-def numeric_match(spark, d):
-    df = spark.createDataFrame(_PAIRS, "a string, b string, t double")
-    return df.select("a", "b", metrics.numeric_match(F.col("a"), F.col("b"), F.col("t")).alias("matches"))
-
-
-_WIDE = "[" + S.SPACE.replace("{", "{{").replace("}", "}}") + "]"
-
-
 @query(f"SELECT task_id, doc_id, coalesce(abs(x - y) <= greatest(0.01e0 * greatest(abs(x), abs(y)), 0.01e0), false) AS matches FROM (SELECT task_id, doc_id, {_number_sql('prior', _WIDE)} AS x, {_number_sql('question', _WIDE)} AS y FROM (SELECT *, lag(question) OVER (PARTITION BY doc_id ORDER BY task_id, question) AS prior FROM (SELECT DISTINCT task_id, doc_id, question FROM retrieval_queries WHERE question IS NOT NULL)) WHERE prior IS NOT NULL)")
-def question_number_match(spark, d):
+def numeric_match(spark, d):
     """Whether each question and the one before it in its report name the same number."""
     return _neighbours(spark, d).select("task_id", "doc_id", metrics.numeric_match(F.col("prior"), F.col("question"), 0.01).alias("matches"))
 
@@ -358,29 +359,12 @@ def ocr_payload_check(spark, d):
     return p.join(ocr_payload(spark, d), ["doc_id", "page_index"]).select("doc_id", "page_index", F.when(F.md5("raw_text") == F.col("text_md5"), "same").otherwise("differs").alias("joined"))
 
 
-@query("SELECT doc_id, regexp_replace(doc_id, '[^A-Za-z0-9._-]+', '_', 'g') || '-' || substr(sha256(doc_id), 1, 12) AS file_name FROM (SELECT DISTINCT doc_id FROM doc_records)")
+@query("SELECT doc_id, left(regexp_replace(doc_id, '[^A-Za-z0-9_-]', '_', 'g'), 100) || '-' || substr(sha256(doc_id), 1, 12) AS file_name FROM (SELECT DISTINCT doc_id FROM doc_records)")
 def safe_file_names(spark, d):
     return table(spark, d, "doc_records", "doc_id").distinct().select("doc_id", readers.safe_name(F.col("doc_id")).alias("file_name"))
 
 
 # Marked text. -------------------------------------------------------------------------------
-_MARKED = (("ok", "# Page 1\nFirst page.\n# Page 2\n Second page.\n---\n# Page 3\n\nThird"), ("gap", "# Page 1\nA\n# Page 3\nB"), ("none", "no marker"))
-_VALUES = ", ".join(f"({S.quote(a)}, {S.quote(b)})" for a, b in _MARKED)
-
-
-@query(
-    f"WITH m AS (SELECT id, regexp_extract_all(t, '(?m)^# Page (\\d+)[ \\t]*$', 1) AS n, regexp_split_to_array(t, '(?m)^# Page \\d+[ \\t]*$') AS parts FROM (VALUES {_VALUES}) v(id, t))"
-    f" SELECT id, CAST(i AS INTEGER) AS page_index, regexp_replace(parts[i + 2], '^[{S.SPACE}]+|[{S.SPACE}]+$', '', 'g') AS page_text FROM (SELECT *, unnest(range(len(n))) AS i FROM m WHERE n = list_transform(range(1, len(n) + 1), lambda x: CAST(x AS VARCHAR)) AND len(n) > 0)"
-)
-def split_marked_pages(spark, d):
-    return readers.split_marked(spark.createDataFrame(_MARKED, "id string, text string"), "id", "text")[0]
-
-
-@query("SELECT id, CASE id WHEN 'gap' THEN 'not_contiguous' ELSE 'no_markers' END AS code FROM (VALUES ('gap'), ('none')) v(id)")
-def split_marked_issues(spark, d):
-    return readers.split_marked(spark.createDataFrame(_MARKED, "id string, text string"), "id", "text")[1]
-
-
 def _marked_reports(spark, d):
     """(doc_id, text): every report as one text of '# Page N' lines and pages; empty without pages.
 
@@ -398,11 +382,192 @@ _COUNTED = "counted AS (SELECT doc_id, min(page_index) = 0 AND max(page_index) =
 
 
 @query(_with(S.PAGES, _COUNTED) + f"SELECT doc_id, page_index, md5(regexp_replace(raw_text, '^[{S.SPACE}]+|[{S.SPACE}]+$', '', 'g')) AS text_md5 FROM pages JOIN counted USING (doc_id) WHERE whole")
-def marked_report_pages(spark, d):
+def split_marked_pages(spark, d):
     p = readers.split_marked(_marked_reports(spark, d), "doc_id", "text")[0]
     return p.select("doc_id", "page_index", F.md5("page_text").alias("text_md5"))
 
 
 @query(_with(S.PAGES, S.DOCS, _COUNTED) + "SELECT doc_id, CASE WHEN whole IS NULL THEN 'no_markers' ELSE 'not_contiguous' END AS code FROM (SELECT doc_id FROM docs UNION SELECT doc_id FROM pages) LEFT JOIN counted USING (doc_id) WHERE whole IS NOT TRUE")
-def marked_report_issues(spark, d):
+def split_marked_issues(spark, d):
     return readers.split_marked(_marked_reports(spark, d), "doc_id", "text")[1]
+
+
+# Annotated datasets. -----------------------------------------------------------------------
+_ANNOTATIONS = f"""ann AS (SELECT task_id AS id, split_part(doc_id, ':', 2) AS company, split_part(doc_id, ':', 3) AS year, question, CASE WHEN len(evidence_pages) > 1 THEN 'mixed' WHEN regexp_matches(question, '[0-9]') THEN 'table' ELSE 'text' END AS type,
+  list_transform(evidence_pages, lambda p: p + 1) AS page_numbers, {_number_sql('question', _WIDE)} AS answer FROM (SELECT DISTINCT q.task_id, q.doc_id, q.question, e.evidence_pages FROM retrieval_queries q JOIN evidence_labels e USING (task_id, doc_id) WHERE len(e.evidence_pages) > 0)),
+rep AS (SELECT doc_id, split_part(doc_id, ':', 2) AS company, split_part(doc_id, ':', 3) AS year, page_count FROM docs)"""
+
+
+def _annotations(spark, d):
+    """Questions with evidence as annotations of a release: pages from one, the question's first number as the answer."""
+    q = table(spark, d, "retrieval_queries", "task_id", "doc_id", "question")
+    e = table(spark, d, "evidence_labels", "task_id", "doc_id", "evidence_pages").where("size(evidence_pages) > 0")
+    part = lambda i: F.split_part("doc_id", F.lit(":"), F.lit(i))
+    kind = F.when(F.size("evidence_pages") > 1, "mixed").when(F.col("question").rlike("[0-9]"), "table").otherwise("text")
+    return q.join(e, ["task_id", "doc_id"]).distinct().select(
+        F.col("task_id").alias("id"), part(2).alias("company"), part(3).alias("year"), "question", kind.alias("type"), F.transform("evidence_pages", lambda p: p + 1).alias("page_numbers"), metrics.parse_number(F.col("question")).alias("answer")
+    )
+
+
+def _reports(spark, d):
+    part = lambda i: F.split_part("doc_id", F.lit(":"), F.lit(i))
+    return _docs(spark, d).select("doc_id", part(2).alias("company"), part(3).alias("year"), "page_count")
+
+
+@query(
+    _with(
+        S.DOCS,
+        _ANNOTATIONS,
+        "want AS (SELECT DISTINCT company, year FROM ann)",
+        "miss AS (SELECT * FROM want WHERE (company, year) NOT IN (SELECT (company, year) FROM rep))",
+        "bad AS (SELECT id, len(list_filter(page_numbers, lambda p: p > page_count)) AS n FROM ann JOIN rep USING (company, year))",
+        "qs AS (SELECT page_count AS v, row_number() OVER (ORDER BY page_count) - 1 AS i, count(*) OVER () AS n FROM rep WHERE (company, year) IN (SELECT (company, year) FROM want) AND page_count IS NOT NULL)",
+    )
+    + """SELECT measure, value, CAST(count AS BIGINT) AS count FROM (SELECT 'question_type' AS measure, type AS value, count(*) AS count FROM ann GROUP BY ALL
+UNION ALL SELECT 'year', year, count(*) FROM ann GROUP BY ALL
+UNION ALL SELECT 'answer_type', CASE WHEN answer IS NULL THEN 'none' WHEN answer = floor(answer) THEN 'whole' ELSE 'fraction' END, count(*) FROM ann GROUP BY ALL
+UNION ALL SELECT 'evidence_pages', CAST(len(page_numbers) AS VARCHAR), count(*) FROM ann GROUP BY ALL
+UNION ALL SELECT 'annotations', '', count(*) FROM ann UNION ALL SELECT 'reports', '', count(*) FROM rep UNION ALL SELECT 'companies', '', count(DISTINCT company) FROM rep
+UNION ALL SELECT 'evidence_page_min', '', min(list_min(page_numbers)) FROM ann UNION ALL SELECT 'evidence_page_max', '', max(list_max(page_numbers)) FROM ann
+UNION ALL SELECT 'report_pages_min', '', min(page_count) FROM rep UNION ALL SELECT 'report_pages_max', '', max(page_count) FROM rep
+UNION ALL SELECT 'task_documents', '', count(*) FROM want UNION ALL SELECT 'reports_without_tasks', '', count(*) FROM rep WHERE (company, year) NOT IN (SELECT (company, year) FROM want)
+UNION ALL SELECT 'missing_report', company || '/' || year, 1 FROM miss UNION ALL SELECT 'invalid_evidence', id, n FROM bad WHERE n > 0
+UNION ALL SELECT 'task_document_pages_' || q, '', v FROM qs, (VALUES ('min', 0), ('p25', 1), ('median', 2), ('p75', 3), ('max', 4)) w(q, k) WHERE i = CASE q WHEN 'min' THEN 0 WHEN 'max' THEN n - 1 WHEN 'p25' THEN n // 4 WHEN 'median' THEN n // 2 ELSE 3 * n // 4 END
+UNION ALL SELECT 'structurally_valid', '', CAST((SELECT count(*) FROM miss) + (SELECT count(*) FROM bad WHERE n > 0) = 0 AS INTEGER))"""
+)
+def release_audit(spark, d):
+    return datasets.release_audit(_annotations(spark, d), _reports(spark, d))
+
+
+_CHOSEN = "sel AS (SELECT DISTINCT split_part(doc_id, ':', 2) AS company, split_part(doc_id, ':', 3) AS year FROM doc_records WHERE source_format = 'pdf')"
+
+
+def _selected(spark, d):
+    return table(spark, d, "doc_records", "doc_id", "source_format").where("source_format = 'pdf'").select(F.split_part("doc_id", F.lit(":"), F.lit(2)).alias("company"), F.split_part("doc_id", F.lit(":"), F.lit(3)).alias("year"))
+
+
+@query(
+    _with(S.DOCS, _ANNOTATIONS, _CHOSEN)
+    + "SELECT 'longdoc:' || id AS task_id, doc_id, 'question_answering' AS task_type, question, type AS question_type, array_to_string(list_transform(page_numbers, lambda p: p - 1), ',') AS evidence, round(answer, 6) AS answer FROM ann JOIN sel USING (company, year) JOIN rep USING (company, year)"
+)
+def converted_annotations(spark, d):
+    t = datasets.convert_annotations(_annotations(spark, d), _reports(spark, d), _selected(spark, d))[0]
+    answer = F.round(F.get("answers", F.lit(0)).cast("double"), 6).alias("answer")  # JSON text, read back
+    return t.select("task_id", "doc_id", "task_type", "question", "question_type", F.array_join(F.col("evidence_pages").cast("array<string>"), ",").alias("evidence"), answer)
+
+
+@query(
+    _with(S.DOCS, _ANNOTATIONS, _CHOSEN)
+    + """SELECT 'report_without_annotations' AS code, company || '/' || year AS id FROM sel WHERE (company, year) NOT IN (SELECT (company, year) FROM ann)
+UNION ALL SELECT 'report_missing', company || '/' || year FROM sel WHERE (company, year) NOT IN (SELECT (company, year) FROM rep)
+UNION ALL SELECT 'evidence_beyond_report', id FROM ann JOIN sel USING (company, year) JOIN rep USING (company, year) WHERE list_max(page_numbers) > page_count"""
+)
+def conversion_issues(spark, d):
+    return datasets.convert_annotations(_annotations(spark, d), _reports(spark, d), _selected(spark, d))[1]
+
+
+_CHECKS = """checks AS (SELECT DISTINCT l.task_id, CASE WHEN l.evidence_pages IS NULL THEN 'fail' WHEN len(l.evidence_pages) = 0 THEN 'concern' ELSE 'pass' END AS status, coalesce(length(l.doc_id) % 2 = 0, false) AS signed, len(l.evidence_pages) <> len(list_distinct(l.evidence_pages)) AS twice FROM evidence_labels l)"""
+
+
+def _checks(spark, d):
+    """Manual checks, made of the labels: null evidence fails, repeated pages are a finding."""
+    e, ev = table(spark, d, "evidence_labels", "task_id", "doc_id", "evidence_pages"), F.col("evidence_pages")
+    twice = F.size(ev) != F.size(F.array_distinct(ev))
+    none = F.array().cast("array<string>")
+    return e.select(
+        "task_id", F.when(ev.isNull(), "fail").when(F.size(ev) == 0, "concern").otherwise("pass").alias("status"), F.coalesce(F.length("doc_id") % 2 == 0, F.lit(False)).alias("human_signoff"), F.when(twice, F.array(F.lit("repeated_page"))).otherwise(none).alias("finding_codes")
+    ).distinct()
+
+
+@query(
+    _MANIFEST.rstrip()
+    + ",\n"
+    + ",\n".join([S.DOCS, _CHECKS])
+    + f""", errs AS (SELECT count(*) AS n FROM ({_MANIFEST_ISSUES}) WHERE code <> 'not_ocr_input_ready'),
+facts AS (SELECT (SELECT count(*) FROM docs) AS n, (SELECT count(*) FROM docs WHERE source_format = 'pdf') AS ready, (SELECT min(page_count) FROM docs) AS lo, (SELECT max(page_count) FROM docs) AS hi, (SELECT count(*) FROM checks) AS checks,
+  (SELECT count(*) FROM checks WHERE status = 'fail') AS fails, (SELECT count(*) FROM checks WHERE NOT signed) AS pending, (SELECT n FROM errs) AS errors, (SELECT count(DISTINCT task_id) FROM checks WHERE task_id NOT IN (SELECT task_id FROM tasks WHERE task_id IS NOT NULL)) AS stray),
+blockers AS (SELECT 'blocker' AS measure, 'unknown_task' AS value, stray AS count FROM facts WHERE stray > 0 UNION ALL SELECT 'blocker', 'manifest_validation_failed', errors FROM facts WHERE errors > 0
+  UNION ALL SELECT 'blocker', 'source_pdfs_unavailable', 0 UNION ALL SELECT 'blocker', 'pilot_not_ocr_ready', n - ready FROM facts WHERE ready < n
+  UNION ALL SELECT 'blocker', 'manual_ground_truth_failures', fails FROM facts WHERE fails > 0 UNION ALL SELECT 'blocker', 'researcher_signoff_pending', pending FROM facts WHERE pending > 0)
+SELECT measure, value, CAST(count AS BIGINT) AS count FROM (SELECT * FROM blockers UNION ALL SELECT 'documents', '', n FROM facts UNION ALL SELECT 'page_count_min', '', lo FROM facts UNION ALL SELECT 'page_count_max', '', hi FROM facts UNION ALL SELECT 'checks', '', checks FROM facts
+UNION ALL SELECT 'status', CASE WHEN count(*) > 0 THEN 'blocked_before_ocr' ELSE 'ready_for_ocr_dry_run' END, count(*) FROM blockers
+UNION ALL SELECT 'check_status', status, count(*) FROM checks GROUP BY ALL UNION ALL SELECT 'finding', 'repeated_page', count(*) FROM checks WHERE twice HAVING count(*) > 0
+UNION ALL SELECT 'source_format', coalesce(source_format, 'unspecified'), count(*) FROM docs GROUP BY ALL)"""
+)
+def phase0_readiness(spark, d):
+    return datasets.readiness(_issues(spark, d), _docs(spark, d), _tasks(spark, d), _checks(spark, d), released_pdfs=0)
+
+
+@query(
+    _with(_CHECKS, _TASKS)
+    + "SELECT DISTINCT task_id FROM checks WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT task_id FROM tasks WHERE evidence_pages IS NOT NULL AND task_id IS NOT NULL)"
+)
+def unknown_checks(spark, d):
+    """Checks on tasks that have no evidence, as if only the others were in the pilot."""
+    return datasets.unknown_checks(_checks(spark, d), _tasks(spark, d).where("evidence_pages is not null")).where("task_id is not null")
+
+
+@query("SELECT task_id, CASE WHEN question IS NULL THEN 'question' ELSE '' END AS missing, CASE WHEN doc_id LIKE '%1' THEN 'page_hint' ELSE '' END AS extra FROM (SELECT DISTINCT task_id, doc_id, question FROM retrieval_queries WHERE task_id IS NOT NULL AND doc_id IS NOT NULL) WHERE question IS NULL OR doc_id LIKE '%1'")
+def key_set_issues(spark, d):
+    """Questions as JSON records, of which the reports ending in 1 carry a field too many; nulls are absent."""
+    q = table(spark, d, "retrieval_queries", "task_id", "doc_id", "question").distinct().where("task_id is not null and doc_id is not null")
+    record = F.to_json(F.struct("task_id", "doc_id", "question", F.when(F.col("doc_id").endswith("1"), F.lit(1)).alias("page_hint")))
+    return datasets.key_set_issues(q.withColumn("record", record), "task_id", "record", ["doc_id", "question", "task_id"])
+
+
+_RAW = """meta AS (SELECT doc_id AS doc_name, nullif(metadata['company'], '') AS company, try_cast(split_part(doc_id, ':', 3) AS INTEGER) AS fiscal_year FROM doc_records),
+quest AS (SELECT DISTINCT q.task_id AS source_id, q.doc_id AS doc_name, q.question, e.evidence_pages FROM retrieval_queries q LEFT JOIN evidence_labels e USING (task_id, doc_id)),
+files AS (SELECT DISTINCT doc_id || CASE WHEN page_count % 7 = 0 THEN 'x' ELSE '' END AS stem, coalesce(pdf_path, doc_id) AS path, page_count > 1 AS valid FROM doc_records WHERE doc_id IS NOT NULL),
+indexed AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY path, valid) AS n FROM files),
+joined AS (SELECT m.doc_name, i.valid, i.n FROM meta m LEFT JOIN indexed i ON lower(i.stem) = lower(m.doc_name) AND i.n = 1)"""
+
+
+@query(
+    _with(_RAW)
+    + f"""SELECT 'duplicate_pdf_stem' AS code, 'file' AS entity, path AS id FROM indexed WHERE n > 1
+UNION ALL SELECT 'duplicate_metadata_doc_name', 'metadata', doc_name FROM meta GROUP BY doc_name HAVING count(*) > 1
+UNION ALL SELECT 'empty_doc_name', 'metadata', doc_name FROM meta WHERE NOT {S.not_blank('doc_name')}
+UNION ALL SELECT 'invalid_document_metadata', 'metadata', doc_name FROM meta WHERE company IS NULL OR NOT {S.not_blank('company')} OR fiscal_year IS NULL
+UNION ALL SELECT 'missing_pdf', 'metadata', doc_name FROM joined WHERE n IS NULL UNION ALL SELECT 'invalid_pdf', 'metadata', doc_name FROM joined WHERE NOT valid
+UNION ALL SELECT 'duplicate_source_question_id', 'question', source_id FROM quest WHERE source_id IS NOT NULL GROUP BY source_id HAVING count(*) > 1
+UNION ALL SELECT 'question_unknown_document', 'question', source_id FROM quest WHERE doc_name NOT IN (SELECT doc_name FROM meta WHERE doc_name IS NOT NULL) OR doc_name IS NULL
+UNION ALL SELECT DISTINCT 'cross_document_evidence', 'question', source_id FROM quest WHERE len(list_filter(evidence_pages, lambda p: p % 5 = 4)) > 0
+UNION ALL SELECT 'invalid_question_schema', 'question', source_id FROM quest WHERE NOT {S.not_blank('source_id')} OR NOT {S.not_blank('doc_name')} OR NOT {S.not_blank('question')} OR evidence_pages IS NULL OR len(evidence_pages) = 0 OR len(list_filter(evidence_pages, lambda p: p IS NULL OR p < 0)) > 0
+UNION ALL SELECT 'pdf_without_metadata', 'file', stem FROM indexed WHERE n = 1 AND lower(stem) NOT IN (SELECT lower(doc_name) FROM meta WHERE doc_name IS NOT NULL)"""
+)
+def dataset_issues(spark, d):
+    """The stored records as a raw dataset: every seventh file is misnamed, one-page files are broken, and every fifth page is cited from another report."""
+    docs = table(spark, d, "doc_records")
+    meta = docs.select(F.col("doc_id").alias("doc_name"), F.nullif(F.col("metadata")["company"], F.lit("")).alias("company"), F.split_part("doc_id", F.lit(":"), F.lit(3)).try_cast("int").alias("fiscal_year"))
+    stem = F.concat("doc_id", F.when(F.col("page_count") % 7 == 0, "x").otherwise(""))
+    files = docs.where("doc_id is not null").select(stem.alias("stem"), F.coalesce("pdf_path", "doc_id").alias("path"), (F.col("page_count") > 1).alias("valid")).distinct()
+    page = lambda p: F.struct(p.alias("evidence_page_num"), F.when(p % 5 == 4, F.concat("doc_id", F.lit("-other"))).otherwise(F.col("doc_id")).alias("evidence_doc_name"))
+    quest = _tasks(spark, d).distinct().select(F.col("task_id").alias("source_id"), F.col("doc_id").alias("doc_name"), "question", F.transform("evidence_pages", page).alias("evidence"))
+    return audit.dataset_issues(meta, quest, files)
+
+
+@query(
+    _PILOT.rstrip()
+    + """, pick AS (SELECT company, doc_name FROM b WHERE n = 1), rows AS (SELECT p.*, i.sector, i.qa_cases FROM pick p JOIN inv i USING (doc_name)),
+t AS (SELECT count(*) AS n, count(DISTINCT company) AS c, sum(qa_cases) AS q, count(DISTINCT coalesce(sector, 'Unknown')) AS s, count(*) FILTER (coalesce(sector, 'Unknown') = 'Unknown') AS u FROM rows)
+SELECT 'pilot_selection_failed' AS code, 'pilot' AS entity, 'pilot' AS id FROM t WHERE c < 4 UNION ALL SELECT 'pilot_has_no_questions', 'pilot', 'pilot' FROM t WHERE n > 0 AND q = 0
+UNION ALL SELECT 'limited_sector_coverage', 'pilot', 'pilot' FROM t WHERE n > 0 AND (u > 0 OR s < 4) UNION ALL SELECT 'pilot_reports_without_questions', 'document', doc_name FROM rows WHERE qa_cases = 0"""
+)
+def pilot_issues(spark, d):
+    return audit.pilot_issues(pilot_selection(spark, d), _inventory(spark, d), companies=4)
+
+
+@query(
+    _with(S.PAGES, S.DOCS)
+    + """, made AS (SELECT doc_id, count(*) AS n, min(page_index) AS lo, max(page_index) AS hi, count(*) FILTER (status IN ('page_failed', 'document_failed')) AS failed, sum(length(raw_text)) AS made FROM pages GROUP BY doc_id),
+summ AS (SELECT doc_id, page_count AS expected_pages, 0 AS failed_pages, c AS characters FROM docs LEFT JOIN (SELECT doc_id, sum(m) AS c FROM (SELECT doc_id, page_index, max(raw_character_count) AS m FROM native_pages WHERE doc_id IS NOT NULL AND page_index IS NOT NULL GROUP BY ALL) GROUP BY doc_id) USING (doc_id)),
+x AS (SELECT * FROM summ FULL JOIN made USING (doc_id))
+SELECT 'report_without_pages' AS code, doc_id FROM x WHERE n IS NULL UNION ALL SELECT 'pages_without_report', doc_id FROM x WHERE expected_pages IS NULL
+UNION ALL SELECT 'incomplete_pages', doc_id FROM x WHERE n <> expected_pages OR lo <> 0 OR hi <> expected_pages - 1 UNION ALL SELECT 'failed_count_differs', doc_id FROM x WHERE failed <> failed_pages
+UNION ALL SELECT 'character_count_differs', doc_id FROM x WHERE made <> characters"""
+)
+def cached_report_issues(spark, d):
+    """The pages against a summary of the stored counts, which claims that nothing failed."""
+    stored = table(spark, d, "native_pages", "doc_id", "page_index", "raw_character_count").where("doc_id is not null and page_index is not null").groupBy("doc_id", "page_index").agg(F.max("raw_character_count").alias("m")).groupBy("doc_id").agg(F.sum("m").alias("characters"))
+    summary = _docs(spark, d).select("doc_id", F.col("page_count").alias("expected_pages"), F.lit(0).alias("failed_pages")).join(stored, "doc_id", "left")
+    return audit.cached_report_issues(_pages(spark, d), summary)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.plans import auditing, ranking
+from pagewright.plans import auditing, ranking, sourcing
 
-QUERIES: dict = {**ranking.QUERIES, **auditing.QUERIES}
-ORACLE: dict = {**ranking.ORACLE, **auditing.ORACLE}
+QUERIES: dict = {**ranking.QUERIES, **auditing.QUERIES, **sourcing.QUERIES}
+ORACLE: dict = {**ranking.ORACLE, **auditing.ORACLE, **sourcing.ORACLE}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import STOPWORDS, tokenize, tokenize_content
-from pagewright.operators import bm25, evaluation, expansion, headings, pages
+from pagewright.operators import audit, bm25, evaluation, expansion, headings, pages
 from pagewright.session import cut
 from pagewright.sources import readers, writers
 
@@ -90,6 +90,28 @@ def run(native_pages: DataFrame, retrieval_queries: DataFrame, labels: Callable[
     return spark.read.parquet(f"{out}/metrics")
 
 
+def compare(native_pages: DataFrame, retrieval_queries: DataFrame, labels: Callable[[], DataFrame], out: str, conditions=("original", "stopwords"), saved_control: str | None = None, ks=evaluation.KS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``run`` of several conditions and their comparison, each with the one before it.
+
+    saved_control: the folder of an earlier run of the first condition, which must come out again, page by page,
+    before any label is opened. Rows: (control, treatment, k, metric, ...) as in ``evaluation.comparison``.
+    """
+    spark = native_pages.sparkSession
+    per_question, named = [], []
+    for condition in conditions:
+        run(native_pages, retrieval_queries, labels, f"{out}/{condition}", condition, ks, k1, b)
+        ranking = unpack(spark.read.parquet(f"{out}/{condition}/predictions"))
+        if saved_control is not None and not per_question:
+            if not evaluation.reproduction_issues(unpack(spark.read.parquet(f"{saved_control}/predictions")), ranking).isEmpty():
+                raise ValueError("the control does not come out as it was saved")
+        per_question.append(evaluation.per_question(evaluation.gold_ranks(ranking, pages.label_projection(labels())), ks))
+    for i in range(1, len(conditions)):
+        pair = evaluation.comparison(per_question[i - 1], per_question[i])
+        named.append(pair.select(F.lit(conditions[i - 1]).alias("control_condition"), F.lit(conditions[i]).alias("treatment_condition"), *pair.columns))
+    audit.union(named).write.mode("errorifexists").parquet(f"{out}/comparison")
+    return spark.read.parquet(f"{out}/comparison")
+
+
 def remaining(plan: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """The part of a plan that has no completed record, for runs that go on where they stopped."""
     return plan.join(done.where("status = 'ok'").select(*keys).distinct(), list(keys), "left_anti")

@@ -3,6 +3,8 @@ definition: lines with offsets, ordered rules, running bounds, and recursion for
 
 from __future__ import annotations
 
+import re
+
 from pagewright.plans import sqltext as S
 
 _SP = f"[{S.SPACE}]"
@@ -80,7 +82,13 @@ notes AS MATERIALIZED (SELECT e.doc_id, e.page_index, CASE WHEN event = 'en_dash
   FROM ev2 e LEFT JOIN run r ON r.doc_id = e.doc_id AND r.region = e.region AND r.ofs = e.ofs AND e.event = 'bare' LEFT JOIN began b ON b.doc_id = e.doc_id AND b.region = e.region WHERE event IN ('en_dash', 'bare', 'listed'))"""
 
 
-def _entries(observed: str) -> str:
+def _entries(observed: str, mark: str = "") -> str:
+    """CTEs up to ``held``; ``mark`` is appended to their names, so that two sets can stand in one statement."""
+    names = r"\b(obsd|bounds|act|opening|every|seqd|held)\b"
+    return re.sub(names, rf"\g<1>{mark}", _entries_sql(observed))
+
+
+def _entries_sql(observed: str) -> str:
     tokens = S.content(S.tokens("heading_text"))
     return f"""obsd AS MATERIALIZED (SELECT *, {S.fold(_norm('heading_text'))} AS key, {tokens} AS toks FROM ({observed})),
 bounds AS (SELECT doc_id, page_index, start AS ofs FROM obsd UNION ALL SELECT doc_id, page_index, ofs FROM resets),
@@ -105,10 +113,10 @@ def plain(*before: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([*before, S.PAGES, _LINES, _entries(_PLAIN)]) + "\n"
 
 
-def section_tokens(name: str) -> str:
-    """CTEs of the heading field, with note formats, as tokens in order; every page stays."""
-    field = f"{name} AS MATERIALIZED (SELECT p.doc_id, p.page_index, coalesce(t.toks, []) AS toks FROM pages p LEFT JOIN (SELECT doc_id, page_index, flatten(list(toks ORDER BY seq)) AS toks FROM held WHERE why IS NULL GROUP BY ALL) t USING (doc_id, page_index))"
-    return ",\n".join([_LINES, _entries(_WITH_NOTES), field])
+def section_tokens(name: str, notes: bool = True, mark: str = "", lines: bool = True) -> str:
+    """CTEs of the heading field, with or without note formats, as tokens in order; every page stays."""
+    field = f"{name} AS MATERIALIZED (SELECT p.doc_id, p.page_index, coalesce(t.toks, []) AS toks FROM pages p LEFT JOIN (SELECT doc_id, page_index, flatten(list(toks ORDER BY seq)) AS toks FROM held{mark} WHERE why IS NULL GROUP BY ALL) t USING (doc_id, page_index))"
+    return ",\n".join([*([_LINES] if lines else []), _entries(_WITH_NOTES if notes else _PLAIN, mark), field])
 
 
 OBSERVATION = plain() + "SELECT doc_id, page_index, seq, mode, kind, heading_text, source_page_index, source_start, source_end, scope_start, scope_end, why IS NULL AS included, why AS rejection_reason FROM held"

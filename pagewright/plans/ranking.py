@@ -428,3 +428,101 @@ def scope_and_inheritance(spark, d):
     held = cut(_held(spark, d)[1].drop("tokens"))
     above = held.where("mode = 'inherited'").select("doc_id", "page_index", F.col("heading_text").alias("inherited"))
     return held.where("mode = 'observed'").join(above, ["doc_id", "page_index"], "left").select("doc_id", "page_index", "seq", "scope_start", "scope_end", "inherited")
+
+
+# Comparisons of conditions, each with the one before it. -----------------------------------------
+def _comparison_sql(ctes: str, control: str, treatment: str) -> str:
+    """``control`` and ``treatment``: names of CTEs of scores."""
+    metrics = ", ".join(f"{{'metric': '{m}', 'a': CAST(c.{m} AS DOUBLE), 'b': CAST(t.{m} AS DOUBLE)}}" for m in ("recall", "any_hit", "all_hit", "reciprocal_rank"))
+    return (
+        ",\n".join([ctes.rstrip(), S.LABELS, _gold_sql("cc", control), _gold_sql("tt", treatment)])
+        + f"\nSELECT k, metric, count(*) AS questions, round(avg(a), 6) AS control, round(avg(b), 6) AS treatment, round(avg(b - a), 6) AS delta, count(*) FILTER (b > a) AS gains, count(*) FILTER (b < a) AS regressions, count(*) FILTER (b = a) AS unchanged "
+        f"FROM (SELECT c.k, unnest([{metrics}], recursive := true) FROM cc_q c JOIN tt_q t USING (task_id, doc_id, k)) GROUP BY k, metric"
+    )
+
+
+def _fused_sql(name: str, heading: str) -> str:
+    return f"{name} AS (SELECT e.task_id, e.doc_id, e.page_index, round(e.score + 0.25 * h.score, 8) AS score FROM e_scores e JOIN {heading}_scores h USING (task_id, doc_id, page_index))"
+
+
+_STOP_SCORES = ",\n".join([S.query_terms("qt0", _STOP), S.bm25("s", "t", "qt0")])
+_SECTION_SCORES = "WITH RECURSIVE " + ",\n".join([_BODY_EXPANDED.rstrip().removeprefix("WITH "), H.section_tokens("hk", notes=False), S.bm25("h", "hk", "qt", "longer"), _fused_sql("sections", "h")])
+_NOTE_SCORES = ",\n".join([_SECTION_SCORES, H.section_tokens("nk", notes=True, mark="2", lines=False), S.bm25("nh", "nk", "qt", "longer"), _fused_sql("formats", "nh")])
+
+
+def _conditions(spark, d):
+    """Scores by condition, made when asked for; the body's tokens are cut once, and the pages read for headings once."""
+    q, longer = _queries(spark, d), _expanded(spark, d)
+    p, six = _pages(spark, d), lambda s: s.withColumn("score", F.round("score", DIGITS))
+    plain = bm25.asked_tokens(q, p)
+    content = plain.withColumn("tokens", drop_stopwords(F.col("tokens")))
+    observed = []
+
+    def fused(notes: bool):
+        if not observed:
+            observed.append(headings.observed(p))
+        obs = observed[0]
+        held = headings.entries(obs, headings.accepted_notes(headings.note_headings(obs)) if notes else None)
+        field = headings.heading_tokens(p, held).join(q.select("doc_id").distinct(), "doc_id", "left_semi")
+        return bm25.fuse(six(bm25.scores(longer, content, tokenize_content)), six(bm25.scores(longer, cut(field), tokenize_content))).withColumn("score", F.round("score", 8))
+
+    return {
+        "original": lambda: six(bm25.scores(q, plain)),
+        "stopwords": lambda: six(bm25.scores(q, content, tokenize_content)),
+        "question_expansion": lambda: six(bm25.scores(longer, content, tokenize_content)),
+        "section_context": lambda: fused(False),
+        "note_formats": lambda: fused(True),
+    }
+
+
+def _compare(spark, d, control, treatment):
+    scored, labels = _conditions(spark, d), _labels(spark, d)
+    q = [evaluation.per_question(evaluation.gold_ranks(bm25.ranked(scored[c]().select("task_id", "doc_id", "page_index", "score")), labels)) for c in (control, treatment)]
+    return _rounded(evaluation.comparison(*q), "control", "treatment", "delta")
+
+
+@query(_comparison_sql(",\n".join([_BODY.rstrip(), S.page_tokens("t2", _STOP), S.query_terms("qt2", _STOP), S.bm25("s", "t2", "qt2")]), "o_scores", "s_scores"))
+def compare_stopwords(spark, d):
+    return _compare(spark, d, "original", "stopwords")
+
+
+@query(_comparison_sql(_BODY_EXPANDED.rstrip() + ",\n" + _STOP_SCORES, "s_scores", "e_scores"))
+def compare_expansion(spark, d):
+    return _compare(spark, d, "stopwords", "question_expansion")
+
+
+@query(_comparison_sql(_SECTION_SCORES, "e_scores", "sections"))
+def compare_section_context(spark, d):
+    return _compare(spark, d, "question_expansion", "section_context")
+
+
+@query(_comparison_sql(_NOTE_SCORES, "sections", "formats"))
+def compare_note_formats(spark, d):
+    return _compare(spark, d, "section_context", "note_formats")
+
+
+@query(
+    _BODY_EXPANDED.rstrip()
+    + ",\n"
+    + S.query_terms("qt0", _STOP)
+    + "\nSELECT x.task_id, x.doc_id, x.page_index, x.term, x.tf, round(x.contribution, 6) AS contribution, b.term IS NULL AS added FROM e_trace x LEFT JOIN qt0 b USING (task_id, doc_id, term)"
+)
+def expansion_term_attribution(spark, d):
+    """The trace of the expanded questions; ``added``: the term is not of the question itself."""
+    q, longer = _queries(spark, d), _expanded(spark, d)
+    trace = bm25.contributions(longer, bm25.asked_tokens(q, _pages(spark, d), tokenize_content), tokenize_content)
+    own = bm25.query_terms(q, tokenize_content).withColumn("own", F.lit(True))
+    return trace.join(own, ["task_id", "doc_id", "term"], "left").select("task_id", "doc_id", "page_index", "term", "tf", F.round("contribution", DIGITS).alias("contribution"), F.col("own").isNull().alias("added"))
+
+
+@query(
+    _BODY.rstrip()
+    + """, st AS (SELECT doc_id, CASE WHEN count(*) = count(*) FILTER (status = 'document_failed') THEN 'document_failed' WHEN count(*) FILTER (status IN ('page_failed', 'document_failed')) > 0 THEN 'partial_extraction' ELSE 'ok' END AS status FROM pages GROUP BY doc_id),
+m AS (SELECT task_id, doc_id, max(score) = 0 AS no_match FROM o_scores GROUP BY ALL)
+SELECT coalesce(st.status, 'document_failed') AS status, count(*) AS questions, count(*) FILTER (coalesce(m.no_match, true)) AS without_match FROM (SELECT DISTINCT task_id, doc_id FROM qs) q LEFT JOIN st USING (doc_id) LEFT JOIN m USING (task_id, doc_id) GROUP BY ALL"""
+)
+def prediction_summary(spark, d):
+    """Questions by how far their report was extracted, and those that no page matches."""
+    q = _queries(spark, d)
+    flags = bm25.match_flags(_scores(spark, d, queries=q).withColumn("score", F.round("score", DIGITS)))
+    return evaluation.prediction_summary(q, _pages(spark, d), flags)

@@ -34,8 +34,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; set one only where the session has none."""
+    """The shared folder for cut lineage; set one only where the session has none.
+
+    A cut frame's files go when nothing refers to the frame any more, so that queries leave nothing behind.
+    """
     jsc = spark.sparkContext._jsc.sc()
+    jsc.conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if jsc.getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:

@@ -196,12 +196,14 @@ def png_problem(content: bytes) -> str | None:
             return "truncated"
         if struct.unpack(">I", content[at + 8 + size : at + 12 + size])[0] != zlib.crc32(kind + body):
             return "checksum"
-        if not kinds and (kind != b"IHDR" or size != 13 or body[8:10] != b"\x08\x02"):
+        if kinds and kind == b"IHDR":
+            return "second_header"
+        if not kinds and (kind != b"IHDR" or size != 13 or body[8:10] != b"\x08\x02" or 0 in struct.unpack(">II", body[:8])):
             return "header"
         kinds.append(kind)
         at += 12 + size
         if kind == b"IEND":
-            return None if b"IDAT" in kinds and at == len(content) else "structure"
+            return None if b"IDAT" in kinds and not size and at == len(content) else "structure"
     return "truncated" if at < len(content) else "structure"
 
 
@@ -240,5 +242,6 @@ def ocr_results(payloads: DataFrame) -> DataFrame:
 
 
 def safe_name(doc_id: Column) -> Column:
-    """A file name for a document id: safe characters and 12 hex digits of its SHA-256."""
-    return F.concat(F.regexp_replace(doc_id, "[^A-Za-z0-9._-]+", "_"), F.lit("-"), F.substring(F.sha2(doc_id, 256), 1, 12))
+    """A file name for a document id: 100 characters at most, all but ASCII letters, digits, '_' and '-' replaced
+    one by one, and 12 hex digits of its SHA-256."""
+    return F.concat(F.left(F.regexp_replace(doc_id, "[^A-Za-z0-9_-]", "_"), F.lit(100)), F.lit("-"), F.substring(F.sha2(doc_id, 256), 1, 12))
