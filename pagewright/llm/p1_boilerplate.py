@@ -71,7 +71,8 @@ def supported_nodes(keys: DataFrame, min_pages: int = MIN_PAGES, min_share_perce
 
 def _salted(keys: DataFrame, per_report: DataFrame, salts: int) -> DataFrame:
     """Join pages to one row per report without gathering a report's pages in one task."""
-    spread = per_report.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Merged, not broadcast: Spark's estimate of a report's list misses its copies.
+    spread = per_report.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return keys.withColumn("salt", F.pmod(F.col("page_index"), F.lit(salts))).join(spread, ["doc_id", "salt"]).drop("salt")
 
 

@@ -65,7 +65,7 @@ def piece_pattern(most, least):
 
 def split(windows: DataFrame, doc_records: DataFrame, page_headings: DataFrame, model_limits: DataFrame, salts: int = SALTS) -> DataFrame:
     """(window_id, doc_id, model_id, strategy, page_total, piece_no, piece_start, piece_end, pieces), half-open."""
-    reports = report_strings(doc_records, page_headings).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    reports = report_strings(doc_records, page_headings).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     w = windows.select("window_id", "doc_id", "model_id", "strategy", "start_page", "end_page").distinct()
     w = w.withColumn("salt", F.pmod(F.xxhash64("window_id", "start_page", "end_page"), F.lit(salts)).cast("int"))
     w = w.join(reports, ["doc_id", "salt"]).join(model_limits.select("model_id", "max_pages", "overlap_pages"), "model_id", "left")

@@ -573,7 +573,8 @@ def scanned_pages(ocr_lines: DataFrame, native_pages: DataFrame, headings: DataF
     nodes = p1.supported_nodes(keys, LEAST_PAGES, LEAST_SHARE)
     share = F.struct((F.col("support") * 100 / F.col("pages")).cast("int").alias("share"), F.col("support").cast("int").alias("pages"))
     kept = cut(nodes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_key", share))).alias("kept")))
-    spread = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Merged, not broadcast: Spark's estimate of a report's list misses its copies.
+    spread = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     titles = (
         headings.where("heading_text is not null")
         .select("doc_id", "page_index", F.explode(skeleton_keys(F.col("heading_text"))).alias("k"))
@@ -589,8 +590,12 @@ def scanned_pages(ocr_lines: DataFrame, native_pages: DataFrame, headings: DataF
 
 
 def sample(pages: DataFrame) -> tuple[list[Page], list[tuple]]:
-    """TRAIN_PAGES pages in the order of a hash, and the numbers on them with the tokens beside them."""
-    rows = pages.orderBy(F.xxhash64("doc_id", "page_index"), "doc_id", "page_index").limit(TRAIN_PAGES).collect()
+    """TRAIN_PAGES pages in the order of a hash, and the numbers on them with the tokens beside them.
+
+    Only about four times as many pages are ordered, so that tasks send few of them to the driver.
+    """
+    among = max(1, pages.count() // (4 * TRAIN_PAGES))
+    rows = pages.where(F.pmod(F.xxhash64("page_index", "doc_id"), F.lit(among)) == 0).orderBy(F.xxhash64("doc_id", "page_index"), "doc_id", "page_index").limit(TRAIN_PAGES).collect()
     numbers = []
     for r in rows:
         for x in r["lines"]:
@@ -599,6 +604,17 @@ def sample(pages: DataFrame) -> tuple[list[Page], list[tuple]]:
     return [page_of(r["lines"], r["support"], r["heading"], r["page_index"]) for r in rows], numbers
 
 
+def commonest(counts: DataFrame, k: int) -> list[tuple[str, int]]:
+    """The ``k`` commonest of ``counts`` (word, n). A histogram of n in powers of two tells which words are ordered at all."""
+    sizes = sorted(((r.p, r["count"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("p")).count().collect()), reverse=True)
+    least, held = 0, 0
+    for p, n in sizes:
+        least, held = p, held + n
+        if held >= k:
+            break
+    return [(r[0], r[1]) for r in counts.where(F.col("n") >= 2**least).orderBy(F.desc("n"), "word").limit(k).collect()]
+
+
 def analyse(ocr_lines: DataFrame, native_pages: DataFrame, headings: DataFrame, untrained: bool = False):
     """(pages, events, breaks, corrections): cut frames that the results are made of.
 
@@ -606,8 +622,8 @@ def analyse(ocr_lines: DataFrame, native_pages: DataFrame, headings: DataFrame,
     ``untrained``: with an editor that has learned nothing, to show what it decides.
     """
     pages = cut(scanned_pages(ocr_lines, native_pages, headings))
-    seen = pages.select(F.explode("lines").alias("x")).select(F.explode(F.split(F.lower("x.text"), r"[\s.,;:()]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = lambda pattern, k: [(r[0], r[1]) for r in seen.where(F.col("word").rlike(pattern)).orderBy(F.desc("n"), "word").limit(k).collect()]
+    seen = cut(pages.select(F.explode("lines").alias("x")).select(F.explode(F.split(F.lower("x.text"), r"[\s.,;:()]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    top = lambda pattern, k: commonest(seen.where(F.col("word").rlike(pattern)), k)
     model = AveragedPerceptron() if untrained else train(top(r"^\p{L}{3,}$", TRAIN_WORDS), [x for x in top(r"^\p{L}+-[\p{L}-]+$", TRAIN_WORDS // 4) if x[1] > 1], *sample(pages))
     ev = cut(pages.mapInPandas(read_pages(model), EVENTS))
     counts = cut(ev.where("kind = 'word'").groupBy("word").agg(F.count("*").alias("n")))
@@ -632,11 +648,17 @@ def analyse(ocr_lines: DataFrame, native_pages: DataFrame, headings: DataFrame,
     return pages, ev, cut(h.withColumn("is_break", is_break).select("doc_id", "page_index", "line_order", "next_line", "left_part", "right_part", "joined", "is_break")), wrong
 
 
+def on_words(ev: DataFrame, of_words: DataFrame, salts: int = p1.SALTS) -> DataFrame:
+    """The word events that ``of_words`` has; a word that stands in very many lines is spread over ``salts`` tasks."""
+    events = ev.where("kind = 'word'").select("doc_id", "page_index", "line_order", "word").withColumn("salt", F.pmod("page_index", F.lit(salts)))
+    return events.join(of_words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["word", "salt"]).drop("salt")
+
+
 def found(ocr_lines: DataFrame, native_pages: DataFrame, headings: DataFrame, untrained: bool = False) -> DataFrame:
     """(doc_id, page_index, line_order, defect) as TESTDATA.md defines it."""
     _, ev, breaks, wrong = analyse(ocr_lines, native_pages, headings, untrained)
     row = lambda df, line, defect: df.select("doc_id", "page_index", line.alias("line_order"), F.lit(defect).alias("defect"))
-    whole = ev.where("kind = 'word'").join(wrong, "word")
+    whole = on_words(ev, wrong)
     split = breaks.where("is_break").join(wrong.withColumnRenamed("word", "joined"), "joined")
     line = F.when(F.col("place") < F.length("left_part"), F.col("line_order")).otherwise(F.col("next_line"))
     return (
@@ -724,7 +746,7 @@ def repaired(ocr_lines: DataFrame, native_pages: DataFrame, headings: DataFrame)
     page = ["doc_id", "page_index"]
     pages = pages.select(*page, "lines")
     known = wrong.where("correction is not null").select("word", "correction")
-    words = ev.where("kind = 'word'").join(known, "word").groupBy(*page).agg(F.collect_set(F.struct("word", "correction")).alias("words"))
+    words = on_words(ev, known).groupBy(*page).agg(F.collect_set(F.struct("word", "correction")).alias("words"))
     joined = breaks.where("is_break").join(known.withColumnRenamed("word", "joined"), "joined", "left")
     joined = joined.groupBy(*page).agg(F.collect_list(F.struct("line_order", "left_part", "right_part", "correction")).alias("breaks"))
     other = ev.groupBy(*page).agg(F.collect_set(F.when(F.col("kind") == "furniture", F.col("line_order"))).alias("furniture"), F.collect_set(F.when(F.col("kind") == "number", F.struct("word", "left_part"))).alias("numbers"))

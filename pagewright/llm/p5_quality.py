@@ -229,8 +229,9 @@ def own_classes(features: DataFrame, headings: DataFrame, salts: int = p1.SALTS,
     """
     keys = features.select("doc_id", "page_index", "line_keys") if keys is None else keys
     members = cut(p1.supported_nodes(keys).groupBy("doc_id").agg(F.collect_list("line_key").alias("kept")))
-    spread = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    df = features.withColumn("salt", F.pmod(F.col("page_index"), F.lit(salts))).join(spread, ["doc_id", "salt"], "left").drop("salt")
+    # Merged, not broadcast: Spark's estimate of a report's list misses its copies.
+    by_salt = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    df = features.withColumn("salt", F.pmod(F.col("page_index"), F.lit(salts))).join(by_salt, ["doc_id", "salt"], "left").drop("salt")
     titles = (
         headings.where("heading_text is not null")
         .select("doc_id", "page_index", F.explode(line_keys(F.col("heading_text"))).alias("k"))
