@@ -78,9 +78,9 @@ def contributions(queries: DataFrame, tokens: DataFrame, analyzer: Analyzer = to
     tokens: (doc_id, page_index, tokens) of every page of the reports in question.
     """
     guard(k1, b)
-    wanted = query_terms(queries, analyzer)
+    wanted = cut(query_terms(queries, analyzer))
     stats = report_stats(tokens)
-    hits = (
+    hits = cut(  # read for df and for the scores
         tokens.select("doc_id", "page_index", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
         .join(wanted.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_semi")
         .groupBy("doc_id", "page_index", "term", "length")
