@@ -38,14 +38,21 @@ def audit_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(object_like.isNull() | ~F.col("value").rlike(rf"^[{PY_SPACE}]*\{{")).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
 
 
-def read_json(path: str):
+def _text_file(path: str, spark: SparkSession | None) -> str:
+    """One small file: local, or with ``spark`` on any storage that it can reach."""
+    if spark is None:
+        return Path(path).read_text(encoding="utf-8-sig")
+    return spark.read.text(path, wholetext=True).first()[0].removeprefix("\ufeff")
+
+
+def read_json(path: str, spark: SparkSession | None = None):
     """One manifest."""
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(_text_file(path, spark))
 
 
-def load_toml(path: str) -> dict:
+def load_toml(path: str, spark: SparkSession | None = None) -> dict:
     """One configuration file."""
-    return tomllib.loads(Path(path).read_text(encoding="utf-8"))
+    return tomllib.loads(_text_file(path, spark))
 
 
 def model_table(spark: SparkSession, config: dict) -> DataFrame:
@@ -75,10 +82,16 @@ def load_tasks(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumns({c: F.coalesce(c, F.array().cast(k)) for c, k in (("answers", "array<string>"), ("evidence_pages", "array<int>"))})
 
 
-def rebased(documents: DataFrame, root: str) -> DataFrame:
-    """Documents whose path is the file name under ``root``; a checksum must be 64 hex digits."""
+def rebased(documents: DataFrame, root: str, strict: bool = False) -> DataFrame:
+    """Documents whose path is the file name under ``root``; a checksum must be 64 hex digits.
+
+    ``checksum_valid`` tells; with ``strict``, a frozen manifest with another checksum ends the job.
+    """
     name = F.element_at(F.split(F.coalesce("source_path", "pdf_path"), r"[/\\]"), -1)
-    return documents.withColumn("source_path", F.concat(F.lit(root.rstrip("/") + "/"), name)).withColumn("checksum_valid", F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)))
+    valid = F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    if strict:
+        valid = F.when(valid, valid).otherwise(F.raise_error(F.concat(F.lit("no checksum in a frozen manifest: "), F.coalesce("doc_id", F.lit("?")))).cast("boolean"))
+    return documents.withColumn("source_path", F.concat(F.lit(root.rstrip("/") + "/"), name)).withColumn("checksum_valid", valid)
 
 
 def markdown_reports(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,9 +133,9 @@ def split_marked(reports: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     return pages.select(key, "page_index", strip.alias("page_text")), df.where("code is not null").select(key, "code")
 
 
-def selection(path: str) -> list[tuple[str, str]]:
+def selection(path: str, spark: SparkSession | None = None) -> list[tuple[str, str]]:
     """The ordered unique (company, year) keys of a selection file."""
-    keys = [(str(r["company"]), str(r["year"])) for r in read_json(path)["reports"]]
+    keys = [(str(r["company"]), str(r["year"])) for r in read_json(path, spark)["reports"]]
     if len(set(keys)) != len(keys):
         raise ValueError("a selection names a report twice")
     return keys
@@ -152,36 +165,73 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PAGE_ROW = "path string, page_index int, raw_text string, status string, error string, page_count int"
+INSPECTION = "path string, page_count int, sample_pages array<int>, readable_pages int, sample_characters int, valid boolean, error string"
 
 
-def _pdf_pages(batches):
+def _open_pdf(content: bytes):
     try:
         from pypdf import PdfReader  # optional plug-in
     except ImportError:
-        PdfReader = None
-    for pdf in batches:
-        for path, content in zip(pdf.path, pdf.content):
-            rows = []
-            try:
-                if PdfReader is None:
-                    raise RuntimeError("no PDF library is installed")
-                reader = PdfReader(io.BytesIO(content))
-                n = len(reader.pages)
-                for i in range(n):
-                    try:
-                        text = reader.pages[i].extract_text() or ""
-                        rows.append((path, i, text, "ok" if text.strip() else "blank_native_text", None, n))
-                    except Exception as e:  # a page fails alone
-                        rows.append((path, i, "", "page_failed", f"{type(e).__name__}: {e}", n))
-            except Exception as e:
-                rows.append((path, 0, "", "document_failed", f"{type(e).__name__}: {e}", 0))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_ROW.split(", ")])
-
-
-def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each page of each PDF; failures are rows, never lost pages."""
+        raise RuntimeError("no PDF library is installed") from None
+    return PdfReader(io.BytesIO(content)).pages
+
+
+def _failure(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def _pdf_pages(open_pdf):
+    def run(batches):
+        for pdf in batches:
+            for path, content, expected in zip(pdf.path, pdf.content, pdf.expected):
+                rows = []
+                try:
+                    opened = open_pdf(content)
+                    n = len(opened)
+                    for i in range(n):
+                        try:
+                            text = opened[i].extract_text() or ""
+                            rows.append((path, i, text, "ok" if text.strip() else "blank_native_text", None, n))
+                        except Exception as e:  # a page fails alone
+                            rows.append((path, i, "", "page_failed", _failure(e), n))
+                except Exception as e:
+                    n = 1 if expected is None or expected != expected else max(1, int(expected))
+                    rows = [(path, i, "", "document_failed", _failure(e), 0) for i in range(n)]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_ROW.split(", ")])
+
+    return run
+
+
+def pdf_pages(spark: SparkSession, path: str, expected: DataFrame | None = None, open_pdf=_open_pdf) -> DataFrame:
+    """One row for each page of each PDF; failures are rows, never lost pages.
+
+    expected: (path, page_count) of a manifest: a document that cannot be opened gives that many failed pages, else one.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_pdf_pages, PAGE_ROW)
+    if expected is None:
+        files = files.withColumn("expected", F.lit(None).cast("int"))
+    else:
+        files = files.join(expected.groupBy("path").agg(F.max("page_count").alias("expected")), "path", "left").select("path", "content", "expected")
+    return files.mapInPandas(_pdf_pages(open_pdf), PAGE_ROW)
+
+
+def pdf_inspection(spark: SparkSession, path: str, open_pdf=_open_pdf) -> DataFrame:
+    """One row for each PDF: pages, and whether its first, middle and last page have text."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf.path, pdf.content):
+                try:
+                    opened = open_pdf(content)
+                    sample = sorted({0, len(opened) // 2, len(opened) - 1}) if len(opened) else []
+                    texts = [(opened[i].extract_text() or "").strip() for i in sample]
+                    rows.append((name, len(opened), sample, sum(map(bool, texts)), sum(map(len, texts)), len(opened) > 0, None))
+                except Exception as e:
+                    rows.append((name, 0, [], 0, 0, False, _failure(e)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INSPECTION.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, INSPECTION)
 
 
 def png_problem(content: bytes) -> str | None:

@@ -8,7 +8,7 @@ import os
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,19 @@ def markdown_table(df: DataFrame, limit: int = 200) -> str:
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows)]) + "\n"
 
 
+def audit_report(title: str, gate: DataFrame, histogram: DataFrame, examples: DataFrame, each: int = 20) -> str:
+    """An audit as Markdown: its state, issues by code, and the first ``each`` ids of every code.
+
+    gate: ``audit.gate``; histogram: (code, count); examples: (code, entity, id).
+    """
+    state = gate.first()
+    first = examples.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("entity", "id"))).where(F.col("n") <= each).drop("n")
+    shown = first.groupBy("code").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("id", F.lit("(none)")))), ", ").alias("examples"))
+    counts = histogram.join(shown, "code", "left").orderBy(F.desc("count"), "code").select("code", "count", "examples")
+    head = f"# {title}\n\n{'Ready' if state['ready'] else 'Blocked'}: {state['blocking']} blocking, {state['warnings']} warnings.\n\n"
+    return head + markdown_table(counts)
+
+
 def fingerprint(policy) -> str:
     """SHA-256 of a policy's canonical JSON."""
     return hashlib.sha256(json.dumps(policy, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

@@ -98,3 +98,53 @@ def test_safe_names(spark):
     df = spark.createDataFrame([("a.b//c d" + "x" * 120,)], "i string").select(readers.safe_name(F.col("i")).alias("n"))
     name = df.first().n
     assert name.startswith("a_b__c_dxx") and len(name) == 113
+
+
+def opener():
+    """Pages divided by '|'; nested, so that workers get it by value."""
+
+    class Sheet:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            if self.text == "!":
+                raise ValueError("bad page")
+            return self.text
+
+    def sheets(content):
+        if content.startswith(b"no pdf"):
+            raise OSError("cannot open")
+        return [Sheet(t) for t in content.decode().split("|")]
+
+    return sheets
+
+
+def test_pdf_rows(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one| |!|four")
+    (tmp_path / "b.pdf").write_bytes(b"no pdf")
+    paths = {r.path.rsplit("/", 1)[-1]: r.path for r in spark.read.format("binaryFile").load(str(tmp_path)).collect()}
+    expected = spark.createDataFrame([(paths["a.pdf"], 9), (paths["b.pdf"], 3)], "path string, page_count int")
+    rows = readers.pdf_pages(spark, str(tmp_path), expected, opener()).collect()
+    assert [(r.page_index, r.status) for r in sorted(rows, key=lambda r: r.page_index) if r.path == paths["a.pdf"]] == [(0, "ok"), (1, "blank_native_text"), (2, "page_failed"), (3, "ok")]
+    assert [(r.page_index, r.status) for r in sorted(rows, key=lambda r: r.page_index) if r.path == paths["b.pdf"]] == [(i, "document_failed") for i in range(3)]
+    (tmp_path / "a.pdf").write_bytes(b"one| |three|four")
+    seen = {r.path: (r.page_count, r.sample_pages, r.readable_pages, r.valid) for r in readers.pdf_inspection(spark, str(tmp_path), opener()).collect()}
+    assert seen == {paths["a.pdf"]: (4, [0, 2, 3], 3, True), paths["b.pdf"]: (0, [], 0, False)}
+
+
+def test_configuration_on_any_storage(spark, tmp_path):
+    (tmp_path / "m.json").write_text("\ufeff{\"a\": 1}", encoding="utf-8")
+    assert readers.read_json(str(tmp_path / "m.json")) == readers.read_json(f"file://{tmp_path}/m.json", spark) == {"a": 1}
+    docs = spark.createDataFrame([("d", "x/y.pdf", None, "0" * 63)], "doc_id string, source_path string, pdf_path string, sha256 string")
+    assert not readers.rebased(docs, "/r").first().checksum_valid
+    with pytest.raises(Exception, match="frozen manifest"):
+        readers.rebased(docs, "/r", strict=True).collect()
+
+
+def test_audit_report(spark):
+    from pagewright.sources import writers
+
+    issues = spark.createDataFrame([("x", "task", str(i)) for i in range(30)] + [("not_ocr_input_ready", "document", "d")], "code string, entity string, id string")
+    text = writers.audit_report("Audit", audit.gate(issues), audit.histogram(issues), issues, each=2)
+    assert "Blocked: 30 blocking, 1 warnings" in text and "| x | 30 | 0, 1 |" in text
