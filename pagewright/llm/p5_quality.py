@@ -41,7 +41,6 @@ FIGURES = (
 )
 
 WORD = re.compile(r"[^\W\d_]+")
-_NO_DIGITS = {ord(c): None for c in "0123456789"}
 _LEADERS = re.compile(r"(?:\.\s?){4,}\s*[0-9]*\s*$")
 _ENTRY = re.compile(r"(?:[•*▪◦‣·–-]|\(?[A-Za-z0-9]{1,3}[.)])\s+\S")
 _FIGURE = r"(?:\(?[$€£]?[0-9lIOoSBb]*[0-9][0-9lIOoSBb.,]*%?\)?|—)"
@@ -131,7 +130,7 @@ def page_figures(text: str, common: frozenset) -> tuple:
     return (
         n,
         round(letters / n, 4) if n else 0.0,
-        round(1 - (letters + len(text) - len(text.translate(_NO_DIGITS))) / solid, 4) if solid else 0.0,
+        round(1 - (letters + sum(map(text.count, "0123456789"))) / solid, 4) if solid else 0.0,
         filled,
         round(ends / filled, 4) if filled else 0.0,
         round(sum(known) / n, 4) if n else 0.0,
