@@ -32,6 +32,21 @@ w AS (SELECT DISTINCT window_id, doc_id, model_id, strategy, start_page, end_pag
 pages AS (SELECT w.*, least(coalesce(end_page, page_count), page_count) - greatest(start_page, 0) AS n FROM w JOIN newest USING (doc_id))
 """
 
+# Pieces one after the other: the rest if it fits, else up to the last strong, middling or any section start in reach, else as much as fits.
+_PIECES = (
+    _WINDOW.rstrip().replace("WITH newest", "WITH RECURSIVE newest", 1)
+    + """, sized AS (SELECT window_id, doc_id, model_id, strategy, start_page, end_page, greatest(start_page, 0) AS first, least(coalesce(end_page, page_count), page_count) AS last, CASE WHEN max_pages > 0 THEN max_pages ELSE n END AS most, greatest(coalesce(overlap_pages, 0), 0) AS lap
+  FROM pages JOIN newest USING (doc_id) LEFT JOIN model_limits USING (model_id) WHERE n > 0),
+piece AS (SELECT *, least(lap, most - 1) AS overlap FROM sized),
+start AS (SELECT doc_id, page, min(s) AS s FROM (SELECT doc_id, coalesce(source_page_index, page_index) AS page, CASE WHEN kind IN ('item', 'statement') THEN 'A' WHEN kind IN ('risk_group', 'note') THEN 'B' ELSE 'C' END AS s FROM page_headings WHERE included AND doc_id IS NOT NULL) WHERE page IS NOT NULL GROUP BY ALL),
+cuts AS (SELECT *, 0 AS piece_no, first AS piece_start, first AS pos, CAST(NULL AS INTEGER) AS piece_end, most AS cap, least(overlap + 1, most) AS least_new FROM piece
+  UNION ALL SELECT window_id, doc_id, model_id, strategy, start_page, end_page, first, last, most, lap, overlap, piece_no + 1, CASE WHEN piece_no = 0 THEN first ELSE pos - overlap END, e, e, most - overlap, 1
+    FROM (SELECT *, CASE WHEN last - pos <= cap THEN last ELSE coalesce(strong, middling, weak, pos + cap) END AS e
+      FROM (SELECT c.*, max(h.page) FILTER (h.s = 'A') AS strong, max(h.page) FILTER (h.s <= 'B') AS middling, max(h.page) AS weak
+        FROM cuts c LEFT JOIN start h ON h.doc_id = c.doc_id AND h.page BETWEEN c.pos + c.least_new AND c.pos + c.cap WHERE c.pos < c.last GROUP BY ALL)))
+SELECT window_id, CAST(piece_no - 1 AS INTEGER) AS piece_no, piece_start, piece_end FROM cuts WHERE piece_end IS NOT NULL"""
+)
+
 _SIZED = f"sized AS (SELECT doc_id, source, coalesce(n_tokens, len({S.tokens('text')}), 0) AS size FROM documents)"
 _RESIDUE = " OR ".join([f"regexp_matches(text, {S.quote(SLOT)})", *(f"regexp_matches(text, {S.quote(p)})" for _, p in PHRASES)])
 
@@ -63,6 +78,7 @@ ORACLE: dict[str, str] = {
     "p2_pages": f"WITH t AS (SELECT DISTINCT doc_id, page_index, field, text FROM (SELECT doc_id, page_index, 'raw_text' AS field, raw_text AS text FROM native_pages UNION ALL SELECT doc_id, page_index, 'search_text', search_text FROM native_pages) WHERE doc_id IS NOT NULL AND page_index IS NOT NULL AND text IS NOT NULL), p AS (SELECT *, regexp_extract_all(text, '[ \\t\\r\\n]+|[^ \\t\\r\\n]+') AS parts FROM t), w AS (SELECT value, {_mapped('value')} AS canonical FROM (SELECT DISTINCT unnest(parts) AS value FROM p) WHERE regexp_matches(value, '[^\\x00-\\x7f]')), u AS (SELECT doc_id, page_index, field, text, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM p), j AS (SELECT doc_id, page_index, field, text, string_agg(coalesce(w.canonical, x), '' ORDER BY i) AS canonical FROM u LEFT JOIN w ON u.x = w.value GROUP BY ALL) SELECT doc_id, page_index, field, coalesce(j.canonical, '') AS canonical FROM t LEFT JOIN j USING (doc_id, page_index, field, text)",
     "p1_found": _LINES + "SELECT doc_id, page_index, line_no FROM keyed SEMI JOIN kept USING (doc_id, k)",
     "p3_found": _WINDOW + "SELECT DISTINCT window_id FROM pages JOIN model_limits USING (model_id) WHERE n > max_pages",
+    "p3_pieces": _PIECES,
     "p6_found": f"WITH {_SIZED} SELECT capacity_tokens, doc_id FROM sized, (SELECT DISTINCT capacity_tokens FROM pack_specs) WHERE size > capacity_tokens",
     "p7_found": f"WITH {_SIZED} SELECT t.source FROM mix_targets t LEFT JOIN (SELECT source, sum(size) AS size FROM sized GROUP BY source) s USING (source), (SELECT sum(size) AS total FROM sized) WHERE coalesce(s.size, 0) * t.max_repeats < t.target_share * total",
     "p8_found": f"SELECT doc_id FROM documents WHERE coalesce({_RESIDUE}, false)",
