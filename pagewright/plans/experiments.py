@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import STOPWORDS, tokenize, tokenize_content
@@ -71,44 +71,57 @@ def unpack(saved: DataFrame) -> DataFrame:
     return saved.select("task_id", "doc_id", F.posexplode("ranked_pages").alias("i", "p")).select("task_id", "doc_id", F.col("p.page_index").alias("page_index"), F.col("p.score").alias("score"), (F.col("i") + 1).alias("rank"))
 
 
-def run(native_pages: DataFrame, retrieval_queries: DataFrame, labels: Callable[[], DataFrame], out: str, condition: str = "original", ks=evaluation.KS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """One condition from stored pages to macro metrics. ``labels`` is called after the predictions are on disk."""
-    evaluation.check_ks(ks)
-    bm25.guard(k1, b)
+def _predict(native_pages: DataFrame, retrieval_queries: DataFrame, out: str, condition: str, k1: float, b: float) -> None:
+    """Queries and predictions of one condition, on disk; no label is read."""
     spark = native_pages.sparkSession
-    queries = pages.allowed_queries(retrieval_queries)
-    queries.write.mode("errorifexists").parquet(f"{out}/queries")
+    pages.allowed_queries(retrieval_queries).write.mode("errorifexists").parquet(f"{out}/queries")
     saved_queries = spark.read.parquet(f"{out}/queries")
     ranking = rank(condition, pages.page_relation(native_pages), saved_queries, k1, b)
     predictions(ranking, saved_queries, condition).write.mode("errorifexists").parquet(f"{out}/predictions")
-    gold = evaluation.gold_ranks(unpack(spark.read.parquet(f"{out}/predictions")), pages.label_projection(labels()))
-    metrics = evaluation.macro(evaluation.per_question(gold, ks))
-    metrics.write.mode("errorifexists").parquet(f"{out}/metrics")
+
+
+def _evaluate(spark: SparkSession, labels: DataFrame, out: str, condition: str, ks, k1: float, b: float) -> DataFrame:
+    """``per_question`` of the saved predictions; metrics and manifest go beside them."""
+    gold = evaluation.gold_ranks(unpack(spark.read.parquet(f"{out}/predictions")), pages.label_projection(labels))
+    questions = evaluation.per_question(gold, ks)
+    evaluation.macro(questions).write.mode("errorifexists").parquet(f"{out}/metrics")
     sums = {r.path.partition(out.partition("://")[2] or out)[2].lstrip("/"): {"sha256": r.sha256, "size": r.size} for part in ("queries", "predictions", "metrics") for r in readers.checksums(spark, f"{out}/{part}").collect()}
     p = policy(condition, k1, b)
     writers.write_json({"status": "complete", "policy": p, "policy_sha256": writers.fingerprint(p), "artifacts": sums}, f"{out}/manifest.json", spark)
-    return spark.read.parquet(f"{out}/metrics")
+    return questions
+
+
+def run(native_pages: DataFrame, retrieval_queries: DataFrame, labels: Callable[[], DataFrame], out: str, condition: str = "original", ks=evaluation.KS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """One condition from stored pages to macro metrics. ``labels`` is called after the predictions are on disk."""
+    evaluation.check_ks(ks)
+    bm25.guard(k1, b)
+    _predict(native_pages, retrieval_queries, out, condition, k1, b)
+    _evaluate(native_pages.sparkSession, labels(), out, condition, ks, k1, b)
+    return native_pages.sparkSession.read.parquet(f"{out}/metrics")
 
 
 def compare(native_pages: DataFrame, retrieval_queries: DataFrame, labels: Callable[[], DataFrame], out: str, conditions=("original", "stopwords"), saved_control: str | None = None, ks=evaluation.KS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``run`` of several conditions and their comparison, each with the one before it.
+    """Several conditions and their comparison, each with the one before it: (control_condition,
+    treatment_condition, k, metric, ...) as in ``evaluation.comparison``.
 
-    saved_control: the folder of an earlier run of the first condition, which must come out again, page by page,
-    before any label is opened. Rows: (control, treatment, k, metric, ...) as in ``evaluation.comparison``.
+    saved_control: the folder of an earlier run of the first condition, which must come out again, place by place.
+    ``labels`` is called once, after the predictions of all conditions are on disk.
     """
+    if len(conditions) < 2:
+        raise ValueError("a comparison needs two conditions")
+    evaluation.check_ks(ks)
+    bm25.guard(k1, b)
     spark = native_pages.sparkSession
-    per_question, named = [], []
     for condition in conditions:
-        run(native_pages, retrieval_queries, labels, f"{out}/{condition}", condition, ks, k1, b)
-        ranking = unpack(spark.read.parquet(f"{out}/{condition}/predictions"))
-        if saved_control is not None and not per_question:
-            if not evaluation.reproduction_issues(unpack(spark.read.parquet(f"{saved_control}/predictions")), ranking).isEmpty():
-                raise ValueError("the control does not come out as it was saved")
-        per_question.append(evaluation.per_question(evaluation.gold_ranks(ranking, pages.label_projection(labels())), ks))
-    for i in range(1, len(conditions)):
-        pair = evaluation.comparison(per_question[i - 1], per_question[i])
-        named.append(pair.select(F.lit(conditions[i - 1]).alias("control_condition"), F.lit(conditions[i]).alias("treatment_condition"), *pair.columns))
-    audit.union(named).write.mode("errorifexists").parquet(f"{out}/comparison")
+        _predict(native_pages, retrieval_queries, f"{out}/{condition}", condition, k1, b)
+    if saved_control is not None:
+        saved, again = (unpack(spark.read.parquet(f"{f}/predictions")) for f in (saved_control, f"{out}/{conditions[0]}"))
+        if not evaluation.reproduction_issues(saved, again).isEmpty():
+            raise ValueError("the control does not come out as it was saved")
+    gold = labels()
+    questions = [_evaluate(spark, gold, f"{out}/{c}", c, ks, k1, b) for c in conditions]
+    pairs = [evaluation.comparison(*questions[i - 1 : i + 1]).withColumns({"control_condition": F.lit(conditions[i - 1]), "treatment_condition": F.lit(conditions[i])}) for i in range(1, len(conditions))]
+    audit.union(pairs).write.mode("errorifexists").parquet(f"{out}/comparison")
     return spark.read.parquet(f"{out}/comparison")
 
 

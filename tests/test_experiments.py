@@ -57,3 +57,24 @@ def test_remaining(spark):
     plan = spark.createDataFrame([("d", 0), ("d", 1)], "doc_id string, page_index int")
     done = spark.createDataFrame([("d", 0, "ok"), ("d", 1, "failed")], "doc_id string, page_index int, status string")
     assert [tuple(r) for r in x.remaining(plan, done, "doc_id", "page_index").collect()] == [("d", 1)]
+
+
+def test_compare(spark, tmp_path):
+    pages, queries, labels = inputs(spark)
+    x.run(pages, queries, lambda: labels, str(tmp_path / "saved"))
+    opened = []
+
+    def open_labels():
+        opened.append([(tmp_path / "out" / c / "predictions" / "_SUCCESS").exists() for c in x.CONDITIONS[:3]])
+        return labels
+
+    got = x.compare(pages, queries, open_labels, str(tmp_path / "out"), x.CONDITIONS[:3], saved_control=str(tmp_path / "saved")).collect()
+    assert opened == [[True] * 3] and len(got) == 2 * 3 * 4
+    assert {(r.control_condition, r.treatment_condition) for r in got} == {("original", "stopwords"), ("stopwords", "question_expansion")}
+    assert all(r.questions == r.gains + r.regressions + r.unchanged == 2 for r in got)
+    other = pages.withColumn("raw_text", F.concat("raw_text", F.lit(" revenue")))
+    with pytest.raises(ValueError, match="as it was saved"):
+        x.compare(other, queries, open_labels, str(tmp_path / "again"), saved_control=str(tmp_path / "saved"))
+    assert len(opened) == 1
+    with pytest.raises(ValueError, match="two conditions"):
+        x.compare(pages, queries, open_labels, str(tmp_path / "one"), ("original",))
