@@ -191,6 +191,10 @@ def edge_examples(page: Page, rng) -> list[tuple]:
                 break
             # Years over columns and last words of sentences are rare on a sample, and never furniture.
             out += [(page.features(i, step, before, depth), FURNITURE, label)] * (1 if plain or page.heading[i] else 4)
+            if not plain:  # however often it stands there
+                for page.support[i] in ((20, 3), (40, 4), (70, 3), (70, 9)):
+                    out += [(page.features(i, step, before, depth), FURNITURE, "content")]
+                page.support[i] = s
             if label == "furniture" and s is not None and page.numbered[i] != "here" and rng.random() < 0.5:
                 page.support[i] = (rng.choice([16, 25, 40]), rng.choice([4, 9]))
                 out.append((page.features(i, step, before, depth), FURNITURE, label))
